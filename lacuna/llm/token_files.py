@@ -43,7 +43,9 @@ PERCENTILE = 90
 END_ID = 2
 NO_ID = -(2**63)
 #: Distinct words whose ids a worker remembers.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 500_000
+#: Characters encoded together, and rows handed to a worker together.
+CHARS_AT_ONCE, ROWS_AT_ONCE = 3_000_000, 2000
 _BLOCK, _TAIL = struct.Struct("<IBBHH"), struct.Struct("<QIQQ4s")
 
 
@@ -147,9 +149,10 @@ class Encoder:
     """Ids of whole texts.
 
     The tokenizer's normalizer and pre-tokenizer never look across ASCII white space, so a text's
-    ids are those of its words between spaces and line feeds, in order.  Each distinct word goes
-    through the tokenizers library once and is remembered; new words are encoded many at a time,
-    with a special token between them, which the library cuts out before anything else.
+    ids are those of its words between spaces and line feeds, in order.  A distinct word goes
+    through the tokenizers library once and is remembered, until ``WORDS_KEPT`` are; new words are
+    encoded many at a time, with a special token between them, which the library cuts out before
+    anything else.
     """
 
     def __init__(self, path: str):
@@ -162,19 +165,20 @@ class Encoder:
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word and not t.lstrip and not t.rstrip}
         self.cut = max(special.items(), default=None)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, new: list[str]) -> None:
         known = self.known
-        apart = [w for w in new if self.cut is None or self.cut[1] in w or not w]
-        for word, enc in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
-            known[word] = np.array(enc.ids, np.uint32).tobytes()
-        joined = [w for w in new if w not in known]
+        apart = [w for w in new if self.cut is None or not w or self.cut[1] in w]
+        known.update(zip(apart, (ids.tobytes() for ids in self._encode(apart))))
+        joined = [w for w in new if w not in known] if apart else new
         groups = [joined[k : k + 64] for k in range(0, len(joined), 64)]
-        for lo in range(0, len(groups), 256):
-            part = groups[lo : lo + 256]
-            encoded = self.tokenizer.encode_batch_fast([self.cut[1].join(g) for g in part], add_special_tokens=False)
-            for group, enc in zip(part, encoded):
-                ids = np.array(enc.ids, np.uint32)
-                data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.cut[0])).tolist() + [4 * len(ids)]
+        for lo in range(0, len(groups), 128):
+            part = groups[lo : lo + 128]
+            for group, ids in zip(part, self._encode([self.cut[1].join(g) for g in part])):
+                data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.cut[0])).tolist()
+                ends.append(len(data))
                 at = 0
                 for word, stop in zip(group, ends, strict=True):
                     known[word] = data[at:stop]
@@ -182,12 +186,26 @@ class Encoder:
 
     def __call__(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self._learn([w for w in wanted if w not in self.known])
-        tail, ids = np.array([end], np.uint32).tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, ws)) + tail, np.uint32) for ws in split]
+        known = self.known
+        new = list(set().union(*split).difference(known))
+        full = len(known) >= WORDS_KEPT
+        self._learn(new)
+        tail, ids = np.array([end], np.uint32).tobytes(), known.__getitem__
+        out = [np.frombuffer(b"".join(map(ids, ws)) + tail, np.uint32) for ws in split]
+        if full:  # the words known by then, frequent ones among them, stay
+            for w in new:
+                del known[w]
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a tokenizer: a worker keeps it from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _open_folder(folder: str):
@@ -213,14 +231,17 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open_folder(folder)
         context = TaskContext.get()
-        part, encode = context.partitionId(), Encoder(tokenizer)
+        part, encode = context.partitionId(), encoder(tokenizer)
 
         def documents():
             for pdf in batches:
-                for lo in range(0, len(pdf), 500):
-                    piece = pdf.iloc[lo : lo + 500]
-                    keys = [None if pd.isna(k) else int(k) for k in piece["doc_id"]]
-                    yield from zip(keys, encode(piece["text"].tolist()))
+                keys = [None if pd.isna(k) else int(k) for k in pdf["doc_id"]]
+                texts, lo, n = pdf["text"].tolist(), 0, 0
+                for hi, text in enumerate(texts, 1):
+                    n += len(text)
+                    if n > CHARS_AT_ONCE or hi == len(texts):
+                        yield from zip(keys[lo:hi], encode(texts[lo:hi]))
+                        lo, n = hi, 0
 
         path = f"{base}/part-{part:06d}.pfr"
         draft = f"{path}.{context.taskAttemptId()}"
@@ -265,7 +286,13 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def encode_corpus(spark: SparkSession, docs: DataFrame, tokenizer: str) -> tuple[DataFrame, str]:
     """Write the token files of a corpus; the table of files and their folder."""
     folder = new_folder(spark, "tokens")
-    write_files(docs, tokenizer, f"{folder}/files").write.parquet(f"{folder}/index")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(ROWS_AT_ONCE, int(was)) if int(was) > 0 else ROWS_AT_ONCE))
+    try:
+        write_files(docs, tokenizer, f"{folder}/files").write.parquet(f"{folder}/index")
+    finally:
+        spark.conf.set(rows, was)
     return spark.read.parquet(f"{folder}/index"), f"{folder}/files"
 
 
