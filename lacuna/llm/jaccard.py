@@ -44,7 +44,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.9995
 DEPTH, MAX_DEPTH = 3, 8
 LIMIT = 64
-BLOCK = 512
+BLOCK = 1024
 #: A node is not split further once a child keeps more than this share of its documents.
 SHRINK = 0.7
 WORDS_KEPT = 400_000
