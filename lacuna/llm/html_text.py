@@ -36,8 +36,10 @@ DROPPED_TAGS = frozenset(
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist note".split())
 #: Parts of class names and ids (between hyphens, underscores and changes of case) that mark page furniture.
 DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer topbar toolbar pagination pager cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies responses respond widget skip sitemap copyright hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer topbar toolbar pagination pager cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget skip sitemap copyright hidden".split()
 )
+#: The same for reader comments: these marks count on any element, articles too.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies responses respond".split())
 #: A start tag of one of these closes an open element of the other kinds, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
@@ -49,40 +51,51 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "mark", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, mark: str | None = None):
+        """``mark``: None, "furniture" for sure, or "name" if only its names say so."""
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.holds = False  # an article or main element, or a headline with most of the page's text
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    @property
+    def dropped(self) -> bool:
+        """Names of layout may stand on a wrapper of the whole page, such as "with-sidebar"."""
+        return self.mark == "furniture" or (self.mark == "name" and not self.holds)
 
-def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is page furniture by its name, role, class, id or visibility."""
+
+def _furniture(tag: str, attrs: str, inside_article: bool) -> str | None:
+    """The mark of an element, by its tag, role, class, id or visibility."""
     if tag in DROPPED_TAGS or (tag == "header" and not inside_article):
-        return True
+        return "furniture"
     if not attrs or tag in ("html", "body"):
-        return False
+        return None
+    found = None
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "furniture"
         if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
+            return "furniture"
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main"):
-            if any(part.lower() in DROPPED_NAMES for part in _NAME.findall(value)):
-                return True
-    return False
+            return "furniture"
+        if name in ("class", "id"):
+            parts = {part.lower() for part in _NAME.findall(value)}
+            if parts & COMMENT_NAMES:
+                return "furniture"
+            if parts & DROPPED_NAMES and tag not in ("article", "main"):
+                found = "name"
+    return found
 
 
 def parse(html: str) -> Node:
     """The tree of a page.  Furniture is marked, comments and raw elements leave no text."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     stack, at, end = [root], 0, len(html)
-    articles = 0
+    articles, headlines = 0, []
 
     def pop_to(depth: int) -> None:
         nonlocal articles
@@ -134,17 +147,50 @@ def parse(html: str) -> Node:
                     pop_to(depth)
                     if tag not in ("tr", "tbody"):
                         break
-        node = Node(tag, stack[-1], stack[-1].dropped or _furniture(tag, m[3], articles > 0))
+        node = Node(tag, stack[-1], _furniture(tag, m[3], articles > 0))
         stack[-1].parts.append(node)
+        if tag in ("article", "main") and not node.mark:
+            for x in stack:
+                x.holds = True
+        elif tag == "h1":
+            headlines.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = end if stop is None else (html.find(">", stop.end()) + 1 or end)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             articles += tag in ("article", "main")
+    _wrappers(root, headlines)
     return root
 
 
+def _wrappers(root: Node, headlines: list[Node]) -> None:
+    """Elements marked by name that hold a headline and most of the page's text hold the article."""
+    doubtful = {x for h in headlines for x in _above(h) if x.mark == "name" and not x.holds}
+    if doubtful:
+        whole = _letters(root)
+        for x in doubtful:
+            x.holds = 2 * _letters(x) > whole
+
+
+def _above(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def _letters(root: Node) -> int:
+    """Characters of text below a node, but for what is furniture for sure."""
+    n, todo = 0, [root]
+    while todo:
+        for x in todo.pop().parts:
+            if isinstance(x, str):
+                n += len(x.strip())
+            elif x.mark != "furniture":
+                todo.append(x)
+    return n
+
+
 def _in_order(root: Node) -> list[Node]:
     """The kept nodes, parents first."""
     order, todo = [], [root]

@@ -36,6 +36,20 @@ def test_furniture(kind):
     assert main_text(page(article + part)) == want
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="page with-sidebar"><article>{}</article></div>',
+        '<div class="nav-layout"><div><h1>Title</h1>{}</div><div class="sidebar">more to read</div></div>',
+        '<article>{}<section class="comments"><article class="comment"><p>' + LONG * 4 + "</p></article></section></article>",
+        '<main>{}<ol class="commentlist"><li>' + LONG * 5 + '</li></ol></main><div class="related"><h3>Related</h3><p>' + LONG + "</p></div>",
+    ],
+)
+def test_wrappers_and_comments(html):
+    text = " ".join(LONG.split())
+    assert main_text(page(html.format(f"<p>{LONG}</p><p>{LONG}</p>"))).removeprefix("Title\n") == f"{text}\n{text}"
+
+
 def test_blocks_and_references():
     html = page("<article><p>a&nbsp;&amp; b<br>c <b>d\n e</b><p>f &#x41;&lt;g&gt;<div>h<p>i</div></article>")
     assert main_text(html) == "a & b c d e\nf A<g>\nh\ni"
