@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,10 @@ SPACE = "▁"
 POWER = 1.0
 SEED = 17
 #: Characters sampled together, and distinct chunks that a worker remembers.
-CHARS_AT_ONCE = 3_000_000
-CHUNKS_KEPT = 700_000
+CHARS_AT_ONCE = 2_000_000
+CHUNKS_KEPT = 400_000
 #: Longest chunk whose lattice is built together with others.
 VECTOR_CHARS = 40
-_CHUNKS = re.compile(rf"\n| *[^ \n{SPACE}]+| +|{SPACE}")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -65,7 +65,15 @@ class Pieces:
                 self.table[name] = i
         self.rare = 1.0 / (rank + 2) ** power
         self.longest = max(map(len, self.table))
-        self.bytes_of = {i: b for b, i in self.byte_ids.items()}
+        # What a piece decodes to; bytes of ASCII characters are those, others need their neighbours.
+        self.plain = [n.replace(SPACE, " ") for n in self.names]
+        self.wide_bytes = {i: b for b, i in self.byte_ids.items() if b >= 0x80}
+        for b, i in self.byte_ids.items():
+            self.plain[i] = chr(b) if b < 0x80 else ""
+        # Commas and the like that no piece holds behind a letter part chunks too.
+        marks = "".join(c for c in ",.;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", n) for n in self.table))
+        ahead = rf"| *[^\W\d_]++(?=[{re.escape(marks)}])" if marks else ""
+        self.chunks = re.compile(rf"\n{ahead}| *[^ \n{SPACE}]+| +|{SPACE}").findall
         self._build_trie()
         self.forget()
 
@@ -85,6 +93,15 @@ class Pieces:
         self.upto, self.length, self.first_id, self.n_ids = np.zeros(0, np.float32), np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.int8)
         self.extra: dict[int, list[int]] = {}
 
+    def _drop(self, chunks: list[str], n_edges: int, n_nodes: int) -> None:
+        """Take back the chunks learned last."""
+        for c in chunks:
+            del self.ends[c]
+        for e in [e for e in self.extra if e >= n_edges]:
+            del self.extra[e]
+        self.edges_from = self.edges_from[: n_nodes + 1]
+        self.upto, self.length, self.first_id, self.n_ids = self.upto[:n_edges], self.length[:n_edges], self.first_id[:n_edges], self.n_ids[:n_edges]
+
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices of new chunks.  A chunk of n characters has n + 1 nodes in a row."""
         parts, held, n = [], [], 0
@@ -92,7 +109,7 @@ class Pieces:
             if len(chunk) <= VECTOR_CHARS and chunk != SPACE:
                 held.append(chunk)
                 n += len(chunk) + 1
-                if n > 200_000:
+                if n > 100_000:
                     parts.append((held, self._many(held)))
                     held, n = [], 0
         if held:
@@ -207,17 +224,18 @@ class Pieces:
         return out
 
     def _sample(self, keys: list[int], texts: list[str | None], seed: int) -> list[np.ndarray]:
-        if len(self.ends) > CHUNKS_KEPT:
-            self.forget()
-        split = [_CHUNKS.findall(f" {t}") if t else [] for t in texts]
+        split = [self.chunks(f" {t}") if t else [] for t in texts]
         ends = self.ends
-        if new := {c for cs in split for c in cs if c not in ends}:
-            self.learn(list(new))
+        full, n_edges, n_nodes = len(ends) >= CHUNKS_KEPT, len(self.upto), len(self.edges_from) - 1
+        new = list(set().union(*split).difference(ends))
+        if new:
+            self.learn(new)
         counts = np.array([len(cs) for cs in split])
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         starts = np.r_[0, np.cumsum(sizes)]
-        node = np.array([ends[c] for cs in split for c in cs], np.int64)
-        length = np.array([len(c) for cs in split for c in cs], np.int64)
+        flat = list(chain.from_iterable(split))
+        node = np.array(list(map(ends.__getitem__, flat)), np.int64)
+        length = np.array(list(map(len, flat)), np.int64)
         place = np.cumsum(length)  # places in the batch; every text starts at its own
         with np.errstate(over="ignore"):
             salt = np.repeat(_mix(np.array([k % 2**64 for k in keys], np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) - starts[:-1].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), counts)
@@ -249,42 +267,59 @@ class Pieces:
                 own = self.extra[int(edges[k])]
                 ids[run[k] - len(own) : run[k]] = own
             per_text = np.r_[0, run][per_text]
+        if full and new:  # the chunks known by then, frequent ones among them, stay
+            self._drop(new, n_edges, n_nodes)
         return np.split(ids, per_text[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        names, byte = self.names, self.bytes_of
-        if not len(ids):
-            return ""
-        ids = ids.tolist()
-        if byte.keys().isdisjoint(ids):
-            return "".join([names[i] for i in ids]).replace(SPACE, " ")[1:]
-        data = b"".join([bytes([byte[i]]) if i in byte else names[i].replace(SPACE, " ").encode() for i in ids])
+        ids, wide, plain = ids.tolist(), self.wide_bytes, self.plain
+        if wide.keys().isdisjoint(ids):
+            return "".join(map(plain.__getitem__, ids))[1:]
+        data = b"".join([bytes((wide[i],)) if i in wide else plain[i].encode() for i in ids])
         return data[1:].decode("utf-8", "surrogatepass")
 
 
+_PIECES: dict[tuple[str, float], Pieces] = {}
+
+
+def pieces_of(path: str, power: float = POWER) -> Pieces:
+    """The process's pieces of a model: a worker keeps its lattices from task to task."""
+    if (path, power) not in _PIECES:
+        _PIECES[path, power] = Pieces(path, power)
+    return _PIECES[path, power]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", into: str = "piece_ids", power: float = POWER, seed: int = SEED) -> DataFrame:
-    """``docs`` with the sampled ids of every text; ``key`` is a whole number per row."""
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", into: str = "piece_ids", decoded: str | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
+    """``docs`` with the sampled ids of every text; ``key`` is a whole number per row.  With
+    ``decoded`` there is one more column: what these ids decode to, worked out in the same pass."""
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        pieces = Pieces(model, power)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        pieces = pieces_of(model, power)
         for keys, texts in batches:
-            yield pd.Series(pieces.sample([0 if pd.isna(k) else int(k) for k in keys], texts.tolist(), seed))
+            ids = pieces.sample([0 if pd.isna(k) else int(k) for k in keys], texts.tolist(), seed)
+            out = {"ids": pd.Series(ids)}
+            if decoded:
+                out["text"] = pd.Series([pieces.decode(x) for x in ids], dtype=object)
+            yield pd.DataFrame(out)
 
-    return docs.withColumn(into, F.pandas_udf(run, "array<int>")(F.col(key).cast("long"), F.col(text)))
+    schema = "ids array<int>" + ", text string" * (decoded is not None)
+    both = docs.withColumn("_encoded", F.pandas_udf(run, schema)(F.col(key).cast("long"), F.col(text)))
+    out = both.withColumn(into, F.col("_encoded.ids"))
+    return (out.withColumn(decoded, F.col("_encoded.text")) if decoded else out).drop("_encoded")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", into: str = "text") -> DataFrame:
     """``encoded`` with the text of every row's ids."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for rows in batches:
             yield pd.Series([pieces.decode(x) if x is not None else "" for x in rows], dtype=object)
 
@@ -293,12 +328,11 @@ def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", into: str = "
 
 def op6(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_hash, n_chars and text_crc32, the last two of the decoded text."""
-    pieces = encode(docs.select("doc_id", "text"), model).select("doc_id", "piece_ids")
-    back = decode(pieces, model)
+    back = encode(docs.select("doc_id", "text"), model, decoded="back").select("doc_id", "piece_ids", "back")
     return back.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.xxhash64("piece_ids").alias("ids_hash"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.length("back").cast("long").alias("n_chars"),
+        F.crc32(F.col("back").cast("binary")).alias("text_crc32"),
     )
