@@ -30,15 +30,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 POWER = 1.0
 SEED = 17
 #: Characters sampled together, and distinct chunks that a worker remembers.
 CHARS_AT_ONCE = 2_000_000
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 300_000
 #: Longest chunk whose lattice is built together with others.
 VECTOR_CHARS = 40
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
@@ -300,19 +303,29 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     """``docs`` with the sampled ids of every text; ``key`` is a whole number per row.  With
     ``decoded`` there is one more column: what these ids decode to, worked out in the same pass."""
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    kept = [c for c in docs.columns if c not in (into, decoded)]
+    source = docs.select(*[docs[c] for c in kept], docs[key].cast("long").alias("_key"), docs[text].alias("_text"))
+    fields = [*source.schema.fields[: len(kept)], T.StructField(into, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, power)
-        for keys, texts in batches:
-            ids = pieces.sample([0 if pd.isna(k) else int(k) for k in keys], texts.tolist(), seed)
-            out = {"ids": pd.Series(ids)}
-            if decoded:
-                out["text"] = pd.Series([pieces.decode(x) for x in ids], dtype=object)
-            yield pd.DataFrame(out)
-
-    schema = "ids array<int>" + ", text string" * (decoded is not None)
-    both = docs.withColumn("_encoded", F.pandas_udf(run, schema)(F.col(key).cast("long"), F.col(text)))
-    out = both.withColumn(into, F.col("_encoded.ids"))
-    return (out.withColumn(decoded, F.col("_encoded.text")) if decoded else out).drop("_encoded")
+        for batch in batches:
+            # A few rows at a time: what is held grows with CHARS_AT_ONCE, not with the batch.
+            sizes = pc.fill_null(pc.utf8_length(batch.column(len(kept) + 1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHARS_AT_ONCE, "right")))
+                part, lo = batch.slice(lo, hi - lo), hi
+                ids = pieces.sample([k or 0 for k in part.column(len(kept)).to_pylist()], part.column(len(kept) + 1).to_pylist(), seed)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns = [*part.columns[: len(kept)], pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))]
+                if decoded:
+                    columns.append(pa.array(map(pieces.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", into: str = "text") -> DataFrame:
