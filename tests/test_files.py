@@ -20,7 +20,10 @@ def test_line_numbers_over_splits(spark, tmp_path):
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
+        (tmp_path / "y.txt").write_text("".join(f"{i}\n" for i in range(1, 9001)))
         df = numbered_lines(spark, str(path))
+        both = numbered_lines(spark, str(tmp_path))
+        assert both.filter("line_no <> int(regexp_extract(value, '^[0-9]+', 0))").count() == 0 and both.count() == 29000
         assert df.filter("line_no <> int(regexp_extract(value, '^[0-9]+', 0))").count() == 0 and df.count() == 20000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
