@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -249,7 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(floor.select("a", "m"))
-        now = settle(small.filter("x <> y").distinct().toDF("a", "b"), "edges")
+        before, now = now, settle(small.filter("x <> y").distinct().toDF("a", "b"), "edges")
+        release(before)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -278,13 +279,15 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     texts = pairs.join(known, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "k1", "k2", "text"])
     sets = settle(texts.select("rep", "m", "k1", "k2", "text").mapInPandas(_sets, "rep long, m long, k1 long, n long, tokens binary"), "sets")
 
-    leaves = [rows.filter(F.col("size") <= LIMIT)]
+    leaves, used = [rows.filter(F.col("size") <= LIMIT)], [rows, sets]
     large = rows.filter(F.col("size") > LIMIT)
     for depth in range(DEPTH + 1, MAX_DEPTH + 1):
         if large.isEmpty():
             break
-        below = settle(large.join(sets.select("rep", "tokens"), "rep").select("node", "size", "rep", "tokens").mapInPandas(_split, "node long, parent long, rep long"), "nodes")
-        below = settle(below.distinct().join(_nodes(below.distinct()).withColumnRenamed("parent", "p"), "node").select("node", "size", "p", "rep"), "nodes")
+        split = settle(large.join(sets.select("rep", "tokens"), "rep").select("node", "size", "rep", "tokens").mapInPandas(_split, "node long, parent long, rep long"), "nodes")
+        below = settle(split.distinct().join(_nodes(split.distinct()).withColumnRenamed("parent", "p"), "node").select("node", "size", "p", "rep"), "nodes")
+        release(split)
+        used.append(below)
         done = (F.col("size") <= LIMIT) | (F.col("size") > SHRINK * F.col("p")) | F.lit(depth == MAX_DEPTH)
         leaves.append(below.filter(done).select("node", "size", "rep"))
         large = below.filter(~done).select("node", "size", "rep")
@@ -301,6 +304,7 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     dealt = sides.join(at.join(sets, "rep"), "block").select("task", "block", "rep", "m", "n", "tokens", "k1")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = settle(dealt.repartition(width, "task").sortWithinPartitions("task", "block", "rep").mapInPandas(_brute, "rep long, k1 long, other long, links long"), "links")
+    release(at, *used)
 
     links = found.groupBy("rep", "k1").agg(F.sum("links").alias("links")).select(F.col("rep").alias("l_rep"), F.col("k1").alias("l_k1"), "links")
     least = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, settle
+
 UNKNOWN = "und"
 SAMPLE = 1000
 FEATURES = 60_000
@@ -121,9 +123,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Mo
         yield pd.DataFrame(rows, columns=["lang", "gram", "n"]).astype({"n": "int64"})
 
     sums = chosen.select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    per = sums.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))  # a row per language at most
+    # A gram has a row per language at most.
+    per = settle(sums.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "grams")
     script = per.filter(F.col("gram").startswith("\0")).collect()
     top = per.filter(~F.col("gram").startswith("\0")).orderBy(F.col("all").desc(), "gram").limit(features).collect()
+    release(per)
     of = {l: i for i, l in enumerate(langs)}
     counts = np.zeros((len(top) + 1, len(langs)))
     for k, r in enumerate(top):

@@ -38,7 +38,7 @@ def test_file_round_trip(sizes):
     assert [k for k, _ in back] == [k for k, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(docs, back))
 
 
-TEXTS = ["", " ", "a  b\n\nc", "é A̸= ≠ x", "İstanbul ΣΑΣ don't I'LL <|endoftext|>x <|startoftext|>", "　a b\tc\r\n 中文字 😀", "'s 't", "x" * 3000, "the the the"]
+TEXTS = ["", " ", "a  b\n\nc", "é A̸= ≠ x", "İstanbul ΣΑΣ don't I'LL <|endoftext|>x <|startoftext|>", "　a b\tc\r\n 中文字 😀", "'s 't", "x" * 3000, "the the the", "Word, word. WORD,. It's. x.,y É, é. , . ., don'T, <|endoftext|>, a<|endoftext|>b.", "a\x1cb \x1f c\x85d\xa0e\u2028f\u2000g", "\x0b\x0c"]
 
 
 @pytest.mark.parametrize("kept", [10**6, 2])
