@@ -3,7 +3,8 @@
 Every DOM node gets a link-adjusted number of characters per tag.  The sum of the densities of its
 children tells how much text-like material a node holds directly; the node with the largest sum
 is the core of the article.  The smallest density on the way from that node to ``body`` is the
-page's threshold; the core grows to the outermost ancestor below ``body`` that reaches it.
+page's threshold: the core grows by an ancestor as long as what that adds reaches it, or holds
+the headline; it becomes the whole ``article`` or ``main`` element around it, if there is one.
 
 Defined cases: a null or empty page has the empty text; broken markup is repaired the way browsers
 do (open elements close at the end, paragraphs close at the next block); page size has no limit,
@@ -233,14 +234,18 @@ def core(order: list[Node]) -> Node:
     if not boxes:
         return order[0]
     best = max(boxes, key=lambda x: x.total)
-    path, node = [], best
-    while node.parent is not None:
-        path.append(node)
-        node = node.parent
+    path = [best, *(x for x in _above(best) if x.tag not in ("html", "#root"))]
+    for tag in ("article", "main"):
+        if named := [x for x in path if x.tag == tag]:
+            return named[-1]
     threshold = min([x.density for x in path] + [body.density])
-    for node in path:
-        if node.tag not in ("body", "html") and node.density >= threshold:
-            best = node
+    headlines = {h for x in order if x.tag == "h1" and x.chars for h in (x, *_above(x))}
+    for node in path[1:]:
+        chars = node.chars - node.link_chars - best.chars + best.link_chars
+        titled = node in headlines and best not in headlines
+        if chars > 0 and not titled and chars / max(1, node.tags - best.tags - 1) < threshold:
+            break
+        best = node
     return best
 
 

@@ -60,6 +60,15 @@ def test_without_article():
     assert main_text(html) == "\n".join([" ".join(LONG.split())] * 3)
 
 
+def test_growth_stops_at_thin_text():
+    text = " ".join(LONG.split())
+    left = "<div><div>Shop</div><div>News now</div><div>Call us</div><div>Map</div></div>"
+    two = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(page(f"<div>{left}{two}</div>")) == f"{text}\n{text}"
+    assert main_text(page(f"<div><h1>Title</h1>{two}{two}</div>")) == "\n".join(["Title"] + [text] * 4)
+    assert main_text(page(f"{two}{two}")) == "\n".join([text] * 4)
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<>", "<p", "</p></div>", "<!--", "<script>", '<a href="', "<![CDATA[", "&#xffffffff;", "<p class='x", "<" * 2000])
 def test_broken(html):
     assert isinstance(main_text(html), str)
