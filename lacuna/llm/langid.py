@@ -38,7 +38,7 @@ SWITCH = 12.0
 #: A script belongs to a language if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.01
 #: Distinct words whose scores a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 
 # Code-point ranges of scripts.
 SCRIPTS = {
@@ -179,25 +179,26 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.n
     return labels
 
 
-def _learn_words(model: Model, new: list[str]) -> None:
+def _learn_words(model: Model, new: list[str], at_once: int = 20_000) -> None:
     """Score new words and remember them."""
-    out = np.zeros((len(new), len(model.langs)), np.float32)
     none, index = len(model.weights) - 1, model.index
-    flat, ends = [], []
-    for w in new:
-        flat += [index.get(g, none) for g in grams(w)]
-        ends.append(len(flat))
-    starts = np.r_[0, ends[:-1]].astype(np.int64)
-    out[:] = np.add.reduceat(model.weights[np.array(flat)], starts, axis=0)
-    allowed = {}
-    for k, w in enumerate(new):
-        s = script_of(w)
-        if s not in allowed:
-            allowed[s] = np.array([s in x for x in model.scripts])
-        if not allowed[s].all():
-            # Out of the running: far behind the best, or neutral where no language has the script.
-            out[k] = np.where(allowed[s], out[k], -50.0 * len(w)) if allowed[s].any() else 0.0
-    model.rows.append(out)
+    allowed: dict[str, np.ndarray] = {}
+    for lo in range(0, len(new), at_once):
+        part = new[lo : lo + at_once]
+        flat, ends = [], []
+        for w in part:
+            flat += [index.get(g, none) for g in grams(w)]
+            ends.append(len(flat))
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        out = np.add.reduceat(model.weights[np.array(flat, np.int32)], starts, axis=0)
+        for k, w in enumerate(part):
+            s = script_of(w)
+            if s not in allowed:
+                allowed[s] = np.array([s in x for x in model.scripts])
+            if not allowed[s].all():
+                # Out of the running: far behind the best, or neutral where no language has the script.
+                out[k] = np.where(allowed[s], out[k], -50.0 * len(w)) if allowed[s].any() else 0.0
+        model.rows.append(out)
 
 
 def identify(model: Model, texts: list[str | None], penalty: float = SWITCH) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
