@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import release, settle, unused
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -321,10 +321,12 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id is their class: one of each group of near copies.  Of rows that
     share that doc_id, the one with the least text stays.  Rows without a doc_id stay."""
-    ids = similar(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(ids, docs["doc_id"] == F.col("keep_id"), "left_semi")
-    first = named.groupBy("doc_id").agg(F.min_by(F.struct(*[named[c] for c in docs.columns]), F.coalesce(named["text"], F.lit(""))).alias("row"))
-    return first.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = unused(docs, "keep_id")
+    ids = similar(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col(keep), "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row"))
+    return first.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, words
+from .common import settle, unused, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -170,14 +170,15 @@ def whole_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     """
     placed = place(docs, "text", weights, seed).documents
     times = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.expr("(quota - at + source_size - 1) div source_size"))).otherwise(0)
+    doc, source, tie, n, turn = (unused(docs, f"k_{x}") for x in ("doc", "source", "tie", "times", "turn"))
     keys = (
-        placed.groupBy(F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("tie").alias("k_tie"))
-        .agg(F.round(F.avg(times)).cast("int").alias("k_times"))
-        .filter("k_times > 0")
+        placed.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("tie").alias(tie))
+        .agg(F.round(F.avg(times)).cast("int").alias(n))
+        .filter(F.col(n) > 0)
     )
-    same = docs["doc_id"].eqNullSafe(F.col("k_doc")) & docs["source"].eqNullSafe(F.col("k_source")) & (F.xxhash64(docs["text"]) == F.col("k_tie"))
-    names = [docs[c] for c in docs.columns]
-    return docs.join(keys, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("k_times"))).alias("k_pass")).drop("k_pass")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(tie))
+    repeated = docs.join(keys, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return repeated.select(*[F.col(c) for c in docs.columns])
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 SPACE = "▁"
 POWER = 1.0
 SEED = 17
@@ -304,7 +306,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     ``decoded`` there is one more column: what these ids decode to, worked out in the same pass."""
 
     kept = [c for c in docs.columns if c not in (into, decoded)]
-    source = docs.select(*[docs[c] for c in kept], docs[key].cast("long").alias("_key"), docs[text].alias("_text"))
+    source = docs.select(*[docs[c] for c in kept], docs[key].cast("long").alias(unused(docs, "_key")), docs[text].alias(unused(docs, "_text")))
     fields = [*source.schema.fields[: len(kept)], T.StructField(into, T.ArrayType(T.IntegerType()))]
     if decoded:
         fields.append(T.StructField(decoded, T.StringType()))

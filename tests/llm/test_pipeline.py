@@ -74,6 +74,23 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.text_crc32) for r in ids) == sorted((k, zlib.crc32(texts[k].encode())) for k, n in times.items() for _ in range(n))
 
 
+def test_clashing_columns(spark):
+    """Columns named like the stages' own come out as they went in."""
+    names = ["language", "quality", "rep", "node", "size", "keep_id", "_id", "_row", "k_doc", "K_TIMES", "k_turn", "at", "rank", "piece_ids", "_key", "_text", "h", "bucket", "n"]
+    docs = spark.createDataFrame(corpus()[:60] + corpus()[120:130], COLUMNS).selectExpr("*", *[f"concat('v', doc_id) AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) > 10 and all(r[n] == f"v{r.doc_id}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+    from lacuna.llm.entry import tokenizer_path
+    from lacuna.llm.pieces import encode
+
+    out = encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded="n")
+    assert set(out.columns) == set(docs.columns) and out.filter("n <> text").count() == 0
+
+
 def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame(corpus()[:40], COLUMNS).write.parquet(str(tmp_path / "a/documents.parquet"))
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "b/documents.parquet"))
