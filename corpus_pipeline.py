@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import jaccard, langid, mixing, pieces, quality
-from lacuna.llm.common import release, settle, ship, table
+from lacuna.llm.common import release, settle, ship, table, unused
 from lacuna.llm.entry import tokenizer_path
 
 #: Share of a text's letters that its language must have.
@@ -21,13 +21,15 @@ MIN_LANGUAGE_SHARE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without one that prevails, go."""
     ship(spark)
-    named = langid.label(docs, langid.train(docs), into="_language")
-    return named.filter((F.col("_language.lang") != langid.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SHARE)).drop("_language")
+    at = unused(docs, "language")
+    named = langid.label(docs, langid.train(docs), into=at)
+    return named.filter((F.col(at)["lang"] != langid.UNKNOWN) & (F.col(at)["score"] >= MIN_LANGUAGE_SHARE)).drop(at)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
-    return quality.assess(docs, into="_quality").filter("_quality.kept").drop("_quality")
+    at = unused(docs, "quality")
+    return quality.assess(docs, into=at).filter(F.col(at)["kept"]).drop(at)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
