@@ -14,8 +14,9 @@ square root of the rows.
 
 Defined cases: null sources are one source, last in order; null, empty and blank texts have size 0
 and are taken for 0 words; repeated rows are separate documents; an empty table gives an empty one;
-if nothing has a word every target is 0.  A mix of a source's few last words may miss its target by
-less than one block per ``CYCLE`` of slots; see ``SLACK``.
+if nothing has a word every target is 0.  There are somewhat more slots than blocks (``SLACK``), so
+that the schedule's small unevenness leaves no source short; only a source whose whole target is a
+few blocks, among very many slots, may miss it by a block or two.
 """
 
 from __future__ import annotations
