@@ -10,8 +10,8 @@ depth d with the chance of a critical branching process (1 - q_d; q_0 = 0, q_d =
 so runs are repeated until the pair is missed with a chance below 1 - ``RECALL``.
 
 Sets that are equal are one class from the start and appear once, with their number, so copies are
-never compared with each other.  Documents of a large node are dealt into blocks of about
-``BLOCK`` by the largest node that holds them; a pair of blocks that meets in any node of any run
+never compared with each other.  Documents of large nodes are dealt into blocks of about ``BLOCK`` by
+the node that holds most of their likes; a pair of blocks that meets in any node of any run
 is compared once, by one task, which returns a row per document: its links there and the least
 document it is tied to.  Pairs are not written out.
 
@@ -295,9 +295,17 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     for more in leaves[1:]:
         leaf = leaf.union(more)
 
-    home = leaf.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("h"))
-    block = F.xxhash64("h.node", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h.size") / BLOCK)))
-    at = settle(home.select("rep", block.alias("block")), "blocks")
+    # A document's home is the largest node that holds it; then each node is led by the home of most
+    # of its documents, and they move to the leading home with the most votes.  So the many nodes of
+    # one large group share a home, and its blocks are full.
+    home = leaf.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("h")).select("rep", F.col("h.node").alias("home"))
+    votes = leaf.join(home, "rep").groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
+    lead = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("lead"))
+    moved = settle(leaf.join(lead, "node").groupBy("rep").agg(F.max("lead").alias("lead")).select("rep", F.col("lead.home").alias("home")), "homes")
+    filled = moved.join(moved.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "home")
+    block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    at = settle(filled.select("rep", block.alias("block")), "blocks")
+    used.append(moved)
     meet = leaf.join(at, "rep").select("node", "block").distinct()
     tasks = meet.join(meet.select("node", F.col("block").alias("other")), "node").filter("block <= other").select("block", "other").distinct()
     sides = tasks.select(F.xxhash64("block", "other").alias("task"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
