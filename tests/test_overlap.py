@@ -52,7 +52,7 @@ def test_random(spark, plan, seed):
 def test_auto_checks_the_size(spark, monkeypatch):
     from lacuna.operators import overlap
 
-    e, b = spark.createDataFrame([(1, "a", 1, 2)], TE), spark.range(50).selectExpr("'a' chr", "int(id*10+5) b_start", "int(id*10+6) b_end")
+    e, b = spark.createDataFrame([(1, "a", 1, 2)], TE), spark.createDataFrame([("a", i * 10 + 5, i * 10 + 6) for i in range(50)], BLOCK)
     assert "BroadcastHashJoin" in unique(e, b)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(overlap, "BROADCAST_PER_CHR", 10)
     used = []
