@@ -47,7 +47,7 @@ LIMIT = 64
 BLOCK = 1024
 #: A node is not split further once a child keeps more than this share of its documents.
 SHRINK = 0.7
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

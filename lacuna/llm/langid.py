@@ -267,6 +267,8 @@ def label(docs: DataFrame, model: Model, text: str = "text", into: str = "langua
             rows = (rows + (identify(m, held) if held else []))[: len(texts)]
             yield pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[dict(zip(("lang", "first_word", "n_words", "letters"), s)) for s in r[2]] for r in rows]})
 
+        m.known, m.rows = {}, []  # the worker lives on and others need the room
+
     return docs.withColumn(into, F.pandas_udf(run, SCHEMA)(F.col(text)))
 
 
