@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, jaccard, langid, licenses, mixing, pieces, quality, sharding, token_files, topk
-from .common import ship, table
+from .common import ship, spread, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 def _on(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        return query(table(spark, sf_dir, name))
+        return query(spread(table(spark, sf_dir, name)))
 
     return run
 
