@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import jaccard, langid, mixing, pieces, quality
-from lacuna.llm.common import release, settle, ship, table, unused
+from lacuna.llm.common import release, settle, ship, spread, table, unused
 from lacuna.llm.entry import tokenizer_path
 
 #: Share of a text's letters that its language must have.
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, used = table(spark, sf_dir, "documents"), []
+    docs, used = spread(table(spark, sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
         release(*used)
