@@ -3,8 +3,9 @@
 Every run grows a tree: a document goes from a node to the children of the shared tokens (shingles)
 that a hash of the node picks, each with chance 1 / (threshold * set size).  Similar sets stay
 together on some path, unlike ones part.  The first ``DEPTH`` levels need nothing but the document
-itself; nodes that still hold more than ``LIMIT`` documents are split further while that makes
-them smaller, and every node left is compared by brute force, exactly.  ``RUNS`` runs follow from
+itself; nodes that still hold more than ``LIMIT`` documents are split further, those of every run
+by themselves, while that makes them smaller, and every node left is compared by brute force,
+exactly.  ``RUNS`` runs follow from
 the target recall: a pair right at the threshold, one set inside the other, survives a run of
 depth d with the chance of a critical branching process (1 - q_d; q_0 = 0, q_d = exp(q_(d-1) - 1)),
 so runs are repeated until the pair is missed with a chance below 1 - ``RECALL``.
@@ -33,7 +34,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, settle, unused
@@ -48,6 +49,8 @@ BLOCK = 1024
 #: A node is not split further once a child keeps more than this share of its documents.
 SHRINK = 0.7
 WORDS_KEPT = 150_000
+#: Hashes of nodes by tokens worked out at a time.
+CELLS = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,13 +106,21 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
         return int(mix(tokens + _C).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(tokens * _B + _A), initial=np.uint64(0)).astype(np.int64))
 
 
-def _children(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """The children, over all ``nodes``, that a set goes on to."""
+def _picks(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children, over all ``nodes``, that a set goes on to, and the places of their parents."""
     chance = DENOMINATOR / (NUMERATOR * len(tokens))
+    most, step = np.uint64(min(2**64 - 1, int(chance * 2.0**64))), max(1, CELLS // len(tokens))
+    places, children = [], []
     with np.errstate(over="ignore"):
-        picks = mix(tokens[None, :] ^ nodes[:, None])
-        node, token = np.nonzero(picks <= np.uint64(min(2**64 - 1, int(chance * 2.0**64))))
-        return mix(mix(nodes[node] + _C) ^ tokens[token])
+        for lo in range(0, len(nodes), step):
+            node, token = np.nonzero(mix(tokens[None, :] ^ nodes[lo : lo + step, None]) <= most)
+            places.append(node + lo)
+            children.append(mix(mix(nodes[node + lo] + _C) ^ tokens[token]))
+    return np.concatenate(places), np.concatenate(children)
+
+
+def _children(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return _picks(tokens, nodes)[1]
 
 
 def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
@@ -148,15 +159,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A level further: rows of (node, its size, rep, tokens) to rows of children."""
+    """A level further: rows of (rep, its nodes, their sizes, tokens) to rows of children."""
     for pdf in batches:
-        node, size, rep = [], [], []
-        for b, s, r, t in zip(pdf["node"], pdf["size"], pdf["rep"], pdf["tokens"]):
-            own = _children(np.frombuffer(t, np.uint64), np.array([b], np.int64).view(np.uint64))
-            node += own.view(np.int64).tolist()
-            size += [s] * len(own)
-            rep += [r] * len(own)
-        yield pd.DataFrame({"node": node, "parent": size, "rep": rep}).astype("int64")
+        for lo in range(0, len(pdf), 1000):
+            part = pdf.iloc[lo : lo + 1000]
+            node, size, rep = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r, ns, sizes, t in zip(part["rep"], part["nodes"], part["sizes"], part["tokens"]):
+                places, own = _picks(np.frombuffer(t, np.uint64), np.array(ns, np.int64).view(np.uint64))
+                node.append(own.view(np.int64))
+                size.append(np.array(sizes, np.int64)[places])
+                rep.append(np.full(len(own), r, np.int64))
+            yield pd.DataFrame({"node": np.concatenate(node), "parent": np.concatenate(size), "rep": np.concatenate(rep)})
 
 
 def compare(sizes: np.ndarray, tokens: list[np.ndarray], cut: int | None) -> np.ndarray:
@@ -253,13 +266,16 @@ def components(edges: DataFrame) -> DataFrame:
         release(before)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of two documents or more; of nodes with the same documents, one: node, size."""
-    sums = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"), *([F.max("parent").alias("parent")] if "parent" in rows.columns else [])
-    )
-    own = ["parent"] if "parent" in rows.columns else []
-    return sums.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("node").alias("node"), *[F.max(c).alias(c) for c in own]).drop("s1", "s2")
+def _nodes(rows: DataFrame, leaf: Column) -> DataFrame:
+    """Nodes of two documents or more, with those: node, size, rep, done.
+
+    Of leaves (``leaf``, over size and parent, the parent's size) with the same documents one is
+    kept.  Nodes to be split all stay: those of other runs with the same documents are other draws."""
+    own = [F.max("parent").alias("parent")] if "parent" in rows.columns else []
+    sums = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"), *own)
+    sums = sums.filter("size > 1").select("node", "size", "s1", "s2", leaf.alias("done"))
+    kept = sums.groupBy("size", "s1", "s2", "done", F.when(~F.col("done"), F.col("node")).alias("apart")).agg(F.min("node").alias("node"))
+    return rows.join(kept, "node").select("node", "size", "rep", "done")
 
 
 def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -273,27 +289,28 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     classes = settle(sketch.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("nodes").alias("nodes")), "classes")
 
     start = classes.filter("rep is not null").select("rep", F.explode("nodes").alias("node"))
-    rows = settle(start.join(_nodes(start), "node").select("node", "size", "rep"), "nodes")
+    rows = settle(_nodes(start, F.col("size") <= LIMIT), "nodes")
     live = rows.select(F.col("rep").alias("l_rep")).distinct()
     known = classes.join(live, F.col("rep") == F.col("l_rep"), "left_semi").select("rep", "m", "k1", "k2")
     texts = pairs.join(known, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "k1", "k2", "text"])
     sets = settle(texts.select("rep", "m", "k1", "k2", "text").mapInPandas(_sets, "rep long, m long, k1 long, n long, tokens binary"), "sets")
 
-    leaves, used = [rows.filter(F.col("size") <= LIMIT)], [rows, sets]
-    large = rows.filter(F.col("size") > LIMIT)
+    leaves, used = [rows.filter("done")], [rows, sets]
+    large = rows.filter("not done")
     for depth in range(DEPTH + 1, MAX_DEPTH + 1):
         if large.isEmpty():
             break
-        split = settle(large.join(sets.select("rep", "tokens"), "rep").select("node", "size", "rep", "tokens").mapInPandas(_split, "node long, parent long, rep long"), "nodes")
-        below = settle(split.distinct().join(_nodes(split.distinct()).withColumnRenamed("parent", "p"), "node").select("node", "size", "p", "rep"), "nodes")
+        held = large.groupBy("rep").agg(F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"))
+        split = settle(held.join(sets.select("rep", "tokens"), "rep").mapInPandas(_split, "node long, parent long, rep long").distinct(), "nodes")
+        below = settle(_nodes(split, (F.col("size") <= LIMIT) | (F.col("size") > SHRINK * F.col("parent")) | F.lit(depth == MAX_DEPTH)), "nodes")
         release(split)
         used.append(below)
-        done = (F.col("size") <= LIMIT) | (F.col("size") > SHRINK * F.col("p")) | F.lit(depth == MAX_DEPTH)
-        leaves.append(below.filter(done).select("node", "size", "rep"))
-        large = below.filter(~done).select("node", "size", "rep")
+        leaves.append(below.filter("done"))
+        large = below.filter("not done")
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
+    leaf = leaf.drop("done")
 
     # A document's home is the largest node that holds it; then each node is led by the home of most
     # of its documents, and they move to the leading home with the most votes.  So the many nodes of

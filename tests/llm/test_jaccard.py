@@ -74,6 +74,15 @@ def test_against_all_pairs(spark, monkeypatch, seed):
     assert got == brute(rows)
 
 
+def test_large_groups_keep_their_links(spark):
+    """Groups of more than LIMIT texts with one body and differing tails: each run splits them anew."""
+    r = random.Random(3)
+    bodies = [text(r, 60) for _ in range(12)]
+    rows = list(enumerate((f"{body} {text(r, 6, 10**6)}" for body in bodies for _ in range(70)), 1))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in op8(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == [(k, (k - 1) // 70 * 70 + 1, 69) for k, _ in rows]
+
+
 def test_odd_rows(spark):
     t = " ".join(f"x{i}" for i in range(50))
     docs = spark.createDataFrame([(7, t), (7, t), (None, t), (3, t), (None, "only here and nowhere else now"), (9, None), (10, "")], "doc_id long, text string")
