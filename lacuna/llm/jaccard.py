@@ -8,7 +8,9 @@ by themselves, while that makes them smaller, and every node left is compared by
 exactly.  ``RUNS`` runs follow from
 the target recall: a pair right at the threshold, one set inside the other, survives a run of
 depth d with the chance of a critical branching process (1 - q_d; q_0 = 0, q_d = exp(q_(d-1) - 1)),
-so runs are repeated until the pair is missed with a chance below 1 - ``RECALL``.
+so runs are repeated until the pair is missed with a chance below 1 - ``RECALL``.  As a pair parts
+more often in nodes that are split down to ``MAX_DEPTH``, the documents of split nodes, and only
+they, take part in further runs (``runs_for_split``), so that this chance holds for them too.
 
 Sets that are equal are one class from the start and appear once, with their number, so copies are
 never compared with each other.  Documents of large nodes are dealt into blocks of about ``BLOCK`` by
@@ -61,12 +63,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has been together in a node with chance ``recall``."""
+def miss(depth: int) -> float:
+    """The chance that a pair at the threshold parts in one run of ``depth`` levels."""
     q = 0.0
     for _ in range(depth):
         q = math.exp(q - 1)
-    return math.ceil(math.log(1 - recall) / math.log(q))
+    return q
+
+
+def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has been together in a node with chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(miss(depth)))
+
+
+def runs_for_split(recall: float = RECALL) -> int:
+    """Runs, the first ones included, for the documents of split nodes: what the first ones miss at
+    ``DEPTH`` and what all of them miss at ``MAX_DEPTH`` are together below 1 - ``recall``."""
+    first = runs_for(recall)
+    left = max(1 - recall - miss(DEPTH) ** first, 1e-12)
+    return max(first, math.ceil(math.log(left) / math.log(miss(MAX_DEPTH))))
 
 
 class Shingler:
@@ -123,10 +138,10 @@ def _children(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return _picks(tokens, nodes)[1]
 
 
-def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
-    """The nodes at ``depth``, over all runs, that a set reaches."""
+def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, first: int = 0) -> np.ndarray:
+    """The nodes at ``depth``, over the runs from ``first`` to ``runs``, that a set reaches."""
     with np.errstate(over="ignore"):
-        nodes = mix((np.arange(runs, dtype=np.uint64) + np.uint64(1)) * _C)
+        nodes = mix((np.arange(first, runs, dtype=np.uint64) + np.uint64(1)) * _C)
     for _ in range(depth):
         if not len(nodes) or not len(tokens):
             return nodes[:0]
@@ -158,6 +173,15 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["rep", "m", "k1", "n", "tokens"]).astype({"rep": "int64", "m": "int64", "k1": "int64", "n": "int64"})
 
 
+def _more(first: int, runs: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes of further runs: rows of (rep, tokens) to rows of (node, rep)."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), 1000):
+            part = pdf.iloc[lo : lo + 1000]
+            nodes = [paths(np.frombuffer(t, np.uint64), runs, first=first).view(np.int64) for t in part["tokens"]]
+            yield pd.DataFrame({"node": np.concatenate([np.empty(0, np.int64), *nodes]), "rep": np.repeat(part["rep"].to_numpy(np.int64), [len(n) for n in nodes])})
+
+
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A level further: rows of (rep, its nodes, their sizes, tokens) to rows of children."""
     for pdf in batches:
@@ -297,6 +321,16 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
     leaves, used = [rows.filter("done")], [rows, sets]
     large = rows.filter("not done")
+    if not large.isEmpty():
+        # Split nodes part more pairs: their documents take part in further runs.
+        hot = large.select(F.col("rep").alias("h_rep")).distinct()
+        begun = sets.join(hot, F.col("rep") == F.col("h_rep"), "left_semi").select("rep", "tokens")
+        more = settle(begun.mapInPandas(partial(_more, runs, runs_for_split(recall)), "node long, rep long"), "nodes")
+        further = settle(_nodes(more, F.col("size") <= LIMIT), "nodes")
+        release(more)
+        used.append(further)
+        leaves.append(further.filter("done"))
+        large = large.union(further.filter("not done"))
     for depth in range(DEPTH + 1, MAX_DEPTH + 1):
         if large.isEmpty():
             break

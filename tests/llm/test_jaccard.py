@@ -83,6 +83,22 @@ def test_large_groups_keep_their_links(spark):
     assert got == [(k, (k - 1) // 70 * 70 + 1, 69) for k, _ in rows]
 
 
+def test_split_nodes_keep_the_recall(spark, monkeypatch):
+    """Pairs at the threshold, one set inside the other, all of whose nodes are split to the last level."""
+    monkeypatch.setattr(jaccard, "LIMIT", 1)
+    monkeypatch.setattr(jaccard, "SHRINK", 1)
+    r = random.Random(4)
+    rows = []
+    for k in range(400):
+        ws = text(r, 104, 10**6).split()
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(ws[:84]))]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in op8(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == [(k, k // 2 * 2, 1) for k, _ in rows]
+    for recall in (0.9, 0.9995):
+        first = jaccard.miss(jaccard.DEPTH) ** runs_for(recall)
+        assert first + jaccard.miss(jaccard.MAX_DEPTH) ** jaccard.runs_for_split(recall) <= 1 - recall
+
+
 def test_odd_rows(spark):
     t = " ".join(f"x{i}" for i in range(50))
     docs = spark.createDataFrame([(7, t), (7, t), (None, t), (3, t), (None, "only here and nowhere else now"), (9, None), (10, "")], "doc_id long, text string")
