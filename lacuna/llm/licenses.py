@@ -36,6 +36,8 @@ GNU = {
     "agpl": ("affero general public license", "agpl", ("1", "3")),
     "gfdl": ("free documentation license", "gfdl", ("1.1", "1.2", "1.3")),
 }
+#: What the licenses' standard headers have between name and version.
+AS_PUBLISHED = "(?:as published by the free software foundation (?:either )?)?"
 COMMONS = {
     "cc-by": ("by", "attribution"),
     "cc-by-sa": ("by sa", "attribution share ?alike"),
@@ -90,7 +92,7 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ments?"),
     ("zlib", "this software is provided as is without any express or implied warranty"),
     ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -134,7 +136,7 @@ def build_rules() -> list[Rule]:
         for v in versions:
             for suffix, tail, extra in (("-or-later", " (?:of the license )?(?:or (?:at your option )?any later version|or later)", 20), ("-only", " only", 20), ("", "", 10)):
                 number = _version(v + ".0" if "." not in v else v)
-                rules.append(Rule(f"{label}-{v}{suffix}", f"(?:gnu )?{name} {number}{tail}", keyword, 30 + extra, 0.95))
+                rules.append(Rule(f"{label}-{v}{suffix}", f"(?:gnu )?{name} {AS_PUBLISHED}{number}{tail}", keyword, 30 + extra, 0.95))
                 rules.append(Rule(f"{label}-{v}{suffix}", f"(?:gnu )?{short} ?{number}{tail}", short, 25 + extra, 0.85))
     for label, (short, long) in COMMONS.items():
         rules.append(Rule(label, f"cc {short}", "cc by", 15 + len(short), 0.8))
@@ -157,7 +159,7 @@ def build_rules() -> list[Rule]:
         for name in names:
             rules.append(Rule(label, f"(?:{name} bsd|bsd {name})(?: licen[sc]e)?", "bsd", 30, 0.9))
     rules.append(Rule("bsd", "bsd licen[sc]e", "bsd", 15, 0.7))
-    rules += [Rule(label, text, text, 20 + len(text) // 8, 0.75 if len(text) < 30 else 0.95) for label, text in NOTICES]
+    rules += [Rule(label, text, text.replace("e?ments?", ""), 20 + len(text) // 8, 0.75 if len(text) < 30 else 0.95) for label, text in NOTICES]
     ids = sorted({r.label for r in rules})
     rules += [Rule(x, f"spdx license identifier {re.sub(r'[-.]', ' ', x)}(?! \\d)", "spdx license identifier", 90, 1.0) for x in ids]
     return sorted(rules, key=lambda r: -r.priority)

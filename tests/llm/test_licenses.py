@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lacuna.llm.licenses import BASE, Rule, Scanner, build_rules, op9
+from lacuna.llm.licenses import BASE, NOTICES, Rule, Scanner, build_rules, op9
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCAN = Scanner()
@@ -62,3 +62,14 @@ def test_every_rule_holds_its_keyword_and_compiles():
     for r in rules:
         plain = re.sub(r"\(\?[:=!][^()]*(?:\([^()]*\)[^()]*)*\)\??", "", r.pattern)
         assert r.keyword.split()[0] in r.pattern or r.keyword in plain
+
+
+def test_notices_and_headers_give_their_labels():
+    for label, notice in NOTICES:
+        assert label in {d.label for d in SCAN(notice.replace("e?ments?", "ement"))[1]}, notice
+    for word in ("acknowledgement", "acknowledgment", "acknowledgements"):
+        assert {d.label for d in SCAN(f"All advertising materials mentioning features or use of this software must display the following {word}: This product")[1]} == {"bsd-4-clause"}
+    header = "the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for name, v, label in [("General Public License", "2", "gpl-2"), ("Lesser General Public License", "2.1", "lgpl-2.1"), ("Affero General Public License", "3", "agpl-3")]:
+        assert {d.label for d in SCAN(header.format(name, v))[1]} == {f"{label}-or-later"}
+    assert {d.label for d in SCAN("GNU General Public License as published by the Free Software Foundation; version 2.")[1]} == {"gpl-2"}
