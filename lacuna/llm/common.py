@@ -19,20 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Parts (of spark.sql.files.maxPartitionBytes at most) up to which a table is dealt out anew.
+FEW_PARTS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The table over all cores, if it comes in fewer parts (a small table in a single file)."""
+    """A table of a few files over all cores.  This is layout alone: larger tables stay as they come,
+    and are never shuffled here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < min(cores, FEW_PARTS + 1) else df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder is made once for the session.
+    Where that is unset and all runs on one machine, as in tests, a temporary folder is made once
+    for the session; a cluster without it is an error.
     """
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set(key, base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -63,6 +71,24 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that may hold more than one in ``HEAVY`` of all rows are fewer than this.
+HEAVY = 1000
+
+
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int) -> DataFrame:
+    """``left`` (of ``rows`` rows) with the columns of ``right``, which has a row per key (never null)
+    and in ``size`` how many rows of ``left`` have it.
+
+    Keys with more than one in ``HEAVY`` rows are fewer than ``HEAVY``, so that part of ``right`` is
+    broadcast whatever the input's size, and their rows are not shuffled; the others are joined by
+    a shuffle, in which no key is larger than that share.
+    """
+    heavy = F.col(size) * HEAVY > rows
+    few = right.filter(heavy)
+    many = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.filter(~heavy), keys)
+    return many.unionByName(left.join(F.broadcast(few), keys))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -12,19 +12,24 @@ so runs are repeated until the pair is missed with a chance below 1 - ``RECALL``
 more often in nodes that are split down to ``MAX_DEPTH``, the documents of split nodes, and only
 they, take part in further runs (``runs_for_split``), so that this chance holds for them too.
 
-Sets that are equal are one class from the start and appear once, with their number, so copies are
-never compared with each other.  Documents of large nodes are dealt into blocks of about ``BLOCK`` by
-the node that holds most of their likes; a pair of blocks that meets in any node of any run
-is compared once, by one task, which returns a row per document: its links there and the least
-document it is tied to.  Pairs are not written out.
+Rows with equal sets are one class from the start, whatever their doc_ids.  Every class has a number
+of its own, by which nodes, blocks, links and components know it, and appears once, with its
+count, so copies are never compared with each other.  Classes of large nodes are dealt into blocks of
+about ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens by the node that holds most of their likes; a pair of
+blocks that meets in any node of any run is compared once, by one task, which returns a row per
+class: its links there and the least class it is tied to.  Pairs are not written out.  A group of
+near copies that differ from each other is still compared in full, block by block: tasks grow with
+the square of its blocks, as the count of links asks for.
 
 Words are runs of other characters than ASCII white space, as they stand; a text of one to four
 words is a single shingle.
 
-Defined cases: texts without words (null, empty, blank) link to nothing and are classes of their
-own; rows that share a doc_id share a class; a null doc_id has a null class unless its text has
-copies with ids, and finds no others; ties (similarity exactly at the threshold) are links; an
-empty table gives an empty one.
+Defined cases: texts without words (null, empty, blank) link to nothing and are components of their
+own.  Rows that share a doc_id are rows of their own, linked by their texts alone; rows without a
+doc_id count and link like others.  ``class_id`` is the least doc_id of a component, null if no row
+of it has one; where unrelated texts share a doc_id, ``class_key`` (the least set key of a
+component, null without words) still tells their components apart.  Ties (similarity exactly at the
+threshold) are links; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle, unused
+from .common import join_by_size, release, settle
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -47,7 +52,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.9995
 DEPTH, MAX_DEPTH = 3, 8
 LIMIT = 64
-BLOCK = 1024
+BLOCK, BLOCK_TOKENS = 1024, 1 << 19
+#: Bytes of tokens that a partition of the comparison gets.
+TASK_BYTES = 32 << 20
 #: A node is not split further once a child keeps more than this share of its documents.
 SHRINK = 0.7
 WORDS_KEPT = 150_000
@@ -156,44 +163,42 @@ def _sketch(runs: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         for text in pdf["text"]:
             tokens = shingle(text)
             rows.append((*set_key(tokens), len(tokens), paths(tokens, runs).view(np.int64)))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "k1": [r[0] for r in rows], "k2": [r[1] for r in rows], "n": [r[2] for r in rows], "nodes": [r[3] for r in rows]})
+        out = pdf[["none", "who", "t1", "t2"]].copy()
+        out["k1"], out["k2"], out["n"] = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        out["nodes"] = [r[3] for r in rows]
+        yield out
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Token sets of documents whose key is the one that their class has."""
+    """Token sets of classes, from a text of each."""
     shingle = Shingler()
     for pdf in batches:
         for lo in range(0, len(pdf), 1000):
             part = pdf.iloc[lo : lo + 1000]
-            rows = []
-            for rep, m, k1, k2, text in zip(part["rep"], part["m"], part["k1"], part["k2"], part["text"]):
-                tokens = shingle(text)
-                if set_key(tokens) == (k1, k2):
-                    rows.append((rep, m, k1, len(tokens), tokens.tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "m", "k1", "n", "tokens"]).astype({"rep": "int64", "m": "int64", "k1": "int64", "n": "int64"})
+            yield pd.DataFrame({"cls": part["cls"], "m": part["m"], "n": part["n"], "tokens": [shingle(t).tobytes() for t in part["text"]]})
 
 
 def _more(first: int, runs: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The nodes of further runs: rows of (rep, tokens) to rows of (node, rep)."""
+    """The nodes of further runs: rows of (cls, tokens) to rows of (node, cls)."""
     for pdf in batches:
         for lo in range(0, len(pdf), 1000):
             part = pdf.iloc[lo : lo + 1000]
             nodes = [paths(np.frombuffer(t, np.uint64), runs, first=first).view(np.int64) for t in part["tokens"]]
-            yield pd.DataFrame({"node": np.concatenate([np.empty(0, np.int64), *nodes]), "rep": np.repeat(part["rep"].to_numpy(np.int64), [len(n) for n in nodes])})
+            yield pd.DataFrame({"node": np.concatenate([np.empty(0, np.int64), *nodes]), "cls": np.repeat(part["cls"].to_numpy(np.int64), [len(n) for n in nodes])})
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A level further: rows of (rep, its nodes, their sizes, tokens) to rows of children."""
+    """A level further: rows of (cls, its nodes, their sizes, tokens) to rows of children."""
     for pdf in batches:
         for lo in range(0, len(pdf), 1000):
             part = pdf.iloc[lo : lo + 1000]
-            node, size, rep = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for r, ns, sizes, t in zip(part["rep"], part["nodes"], part["sizes"], part["tokens"]):
+            node, size, cls = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for c, ns, sizes, t in zip(part["cls"], part["nodes"], part["sizes"], part["tokens"]):
                 places, own = _picks(np.frombuffer(t, np.uint64), np.array(ns, np.int64).view(np.uint64))
                 node.append(own.view(np.int64))
                 size.append(np.array(sizes, np.int64)[places])
-                rep.append(np.full(len(own), r, np.int64))
-            yield pd.DataFrame({"node": np.concatenate(node), "parent": np.concatenate(size), "rep": np.concatenate(rep)})
+                cls.append(np.full(len(own), c, np.int64))
+            yield pd.DataFrame({"node": np.concatenate(node), "parent": np.concatenate(size), "cls": np.concatenate(cls)})
 
 
 def compare(sizes: np.ndarray, tokens: list[np.ndarray], cut: int | None) -> np.ndarray:
@@ -227,7 +232,7 @@ def compare(sizes: np.ndarray, tokens: list[np.ndarray], cut: int | None) -> np.
 
 
 def _brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compare the documents of each task (rows come task by task): rep, other, links."""
+    """Compare the classes of each task (rows come task by task): cls, other, links."""
     held: list[tuple] = []
     task = None
 
@@ -239,7 +244,7 @@ def _brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = [r[0] for r in rows]
         cut = sum(b == first for b in blocks)
         cut = None if cut == len(rows) else cut
-        reps, m, sizes = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        own, m, sizes = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         alike = compare(sizes, [np.frombuffer(r[4], np.uint64) for r in rows], cut)
         if cut is not None:
             full = np.zeros((len(rows), len(rows)), bool)
@@ -249,21 +254,21 @@ def _brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(linked):
             return None
         near = alike[np.ix_(linked, linked)]
-        label = reps[linked].copy()
+        label = own[linked].copy()
         while True:
             least = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
             if (least == label).all():
                 break
             label = least
-        return pd.DataFrame({"rep": reps[linked], "k1": np.array([r[5] for r in rows], np.int64)[linked], "other": label, "links": near.astype(np.int64) @ m[linked]})
+        return pd.DataFrame({"cls": own[linked], "other": label, "links": near.astype(np.int64) @ m[linked]})
 
     for pdf in batches:
-        for t, b, rep, m, n, tokens, k1 in zip(pdf["task"], pdf["block"], pdf["rep"], pdf["m"], pdf["n"], pdf["tokens"], pdf["k1"]):
+        for t, b, cls, m, n, tokens in zip(pdf["task"], pdf["block"], pdf["cls"], pdf["m"], pdf["n"], pdf["tokens"]):
             if t != task:
                 if (out := close()) is not None:
                     yield out
                 held, task = [], t
-            held.append((b, rep, m, n, tokens, k1))
+            held.append((b, cls, m, n, tokens))
     if (out := close()) is not None:
         yield out
 
@@ -291,41 +296,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _nodes(rows: DataFrame, leaf: Column) -> DataFrame:
-    """Nodes of two documents or more, with those: node, size, rep, done.
+    """Nodes of two classes or more, with those: node, size, cls, done.  A class has a node once.
 
-    Of leaves (``leaf``, over size and parent, the parent's size) with the same documents one is
-    kept.  Nodes to be split all stay: those of other runs with the same documents are other draws."""
+    Of leaves (``leaf``, over size and parent, the parent's size) with the same classes one is
+    kept.  Nodes to be split all stay: those of other runs with the same classes are other draws."""
     own = [F.max("parent").alias("parent")] if "parent" in rows.columns else []
-    sums = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"), *own)
+    sums = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("s2"), *own)
     sums = sums.filter("size > 1").select("node", "size", "s1", "s2", leaf.alias("done"))
     kept = sums.groupBy("size", "s1", "s2", "done", F.when(~F.col("done"), F.col("node")).alias("apart")).agg(F.min("node").alias("node"))
-    return rows.join(kept, "node").select("node", "size", "rep", "done")
+    return join_by_size(rows, kept.select("node", "size", "done"), ["node"], "size", rows.count()).select("node", "size", "cls", "done")
 
 
-def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for documents (doc_id, text).
+KEY = ["none", "who", "t1", "t2"]
 
-    ``class_id`` is the least doc_id of a document's connected component, ``n_links`` the number of
-    other documents at or above the threshold, ``n_copies`` how many have the very same set."""
-    spark, runs = docs.sparkSession, runs_for(recall)
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = settle(pairs.mapInPandas(partial(_sketch, runs), "doc_id long, k1 long, k2 long, n long, nodes array<long>"), "sketches")
-    classes = settle(sketch.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("nodes").alias("nodes")), "classes")
 
-    start = classes.filter("rep is not null").select("rep", F.explode("nodes").alias("node"))
-    rows = settle(_nodes(start, F.col("size") <= LIMIT), "nodes")
-    live = rows.select(F.col("rep").alias("l_rep")).distinct()
-    known = classes.join(live, F.col("rep") == F.col("l_rep"), "left_semi").select("rep", "m", "k1", "k2")
-    texts = pairs.join(known, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "k1", "k2", "text"])
-    sets = settle(texts.select("rep", "m", "k1", "k2", "text").mapInPandas(_sets, "rep long, m long, k1 long, n long, tokens binary"), "sets")
+def _key() -> list[Column]:
+    """KEY of a document: its doc_id (``none``: it is null) and 128 bits that tell texts apart."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("who"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
+def _search(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of documents (none, who, k1, k2, n, ...) and the classes of those with words: k1, k2,
+    m (rows), first (KEY of its first row), group (component), links (rows of other classes)."""
+    spark, runs = docs.sparkSession, runs_for(recall)
+    keyed = docs.select(*_key(), "text")
+    sketch = settle(keyed.mapInPandas(partial(_sketch, runs), "none boolean, who long, t1 long, t2 long, k1 long, k2 long, n long, nodes array<long>"), "sketches")
+    alike = sketch.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    # The table is written, so every class keeps the number that it gets here.
+    classes = settle(alike.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+    rows = settle(_nodes(classes.select("cls", F.explode("nodes").alias("node")), F.col("size") <= LIMIT), "nodes")
+    live = rows.select("cls").distinct()
+    known = classes.join(live, "cls", "left_semi").select("cls", "m", "n", *[F.col("first")[c].alias(c) for c in KEY])
+    # Whole repeated rows are merged before they are shuffled.
+    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text")).join(known, KEY)
+    sets = settle(texts.select("cls", "m", "n", "text").mapInPandas(_sets, "cls long, m long, n long, tokens binary"), "sets")
 
     leaves, used = [rows.filter("done")], [rows, sets]
     large = rows.filter("not done")
     if not large.isEmpty():
-        # Split nodes part more pairs: their documents take part in further runs.
-        hot = large.select(F.col("rep").alias("h_rep")).distinct()
-        begun = sets.join(hot, F.col("rep") == F.col("h_rep"), "left_semi").select("rep", "tokens")
-        more = settle(begun.mapInPandas(partial(_more, runs, runs_for_split(recall)), "node long, rep long"), "nodes")
+        # Split nodes part more pairs: their classes take part in further runs.
+        begun = sets.join(large.select("cls").distinct(), "cls", "left_semi").select("cls", "tokens")
+        more = settle(begun.mapInPandas(partial(_more, runs, runs_for_split(recall)), "node long, cls long"), "nodes")
         further = settle(_nodes(more, F.col("size") <= LIMIT), "nodes")
         release(more)
         used.append(further)
@@ -334,8 +346,8 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     for depth in range(DEPTH + 1, MAX_DEPTH + 1):
         if large.isEmpty():
             break
-        held = large.groupBy("rep").agg(F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"))
-        split = settle(held.join(sets.select("rep", "tokens"), "rep").mapInPandas(_split, "node long, parent long, rep long").distinct(), "nodes")
+        held = large.groupBy("cls").agg(F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"))
+        split = settle(held.join(sets.select("cls", "tokens"), "cls").mapInPandas(_split, "node long, parent long, cls long").distinct(), "nodes")
         below = settle(_nodes(split, (F.col("size") <= LIMIT) | (F.col("size") > SHRINK * F.col("parent")) | F.lit(depth == MAX_DEPTH)), "nodes")
         release(split)
         used.append(below)
@@ -346,46 +358,60 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         leaf = leaf.union(more)
     leaf = leaf.drop("done")
 
-    # A document's home is the largest node that holds it; then each node is led by the home of most
-    # of its documents, and they move to the leading home with the most votes.  So the many nodes of
-    # one large group share a home, and its blocks are full.
-    home = leaf.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("h")).select("rep", F.col("h.node").alias("home"))
-    votes = leaf.join(home, "rep").groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
-    lead = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("lead"))
-    moved = settle(leaf.join(lead, "node").groupBy("rep").agg(F.max("lead").alias("lead")).select("rep", F.col("lead.home").alias("home")), "homes")
-    filled = moved.join(moved.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "home")
-    block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    at = settle(filled.select("rep", block.alias("block")), "blocks")
-    used.append(moved)
-    meet = leaf.join(at, "rep").select("node", "block").distinct()
+    # A class's home is the largest node that holds it; then each node is led by the home of most of
+    # its classes, and they move to the leading home with the most votes.  So the many nodes of one
+    # large group share a home, and its blocks are full.
+    home = leaf.groupBy("cls").agg(F.max(F.struct("size", "node")).alias("h")).select("cls", F.col("h.node").alias("home"))
+    votes = leaf.join(home, "cls").groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
+    lead = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("lead"), F.sum("n").alias("held")).select("node", F.col("lead.n").alias("votes"), F.col("lead.home").alias("led"), "held")
+    led = join_by_size(leaf.select("cls", "node"), lead, ["node"], "held", leaf.count())
+    moved = settle(led.groupBy("cls").agg(F.max(F.struct("votes", "led")).alias("lead")).select("cls", F.col("lead.led").alias("home")).join(sets.select("cls", "n"), "cls"), "homes")
+    full = moved.groupBy("home").agg(F.count(F.lit(1)).alias("held"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    filled = join_by_size(moved, full, ["home"], "held", moved.count())
+    at = settle(filled.select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"), "n"), "blocks")
+    meet = leaf.join(at, "cls").select("node", "block").distinct()
     tasks = meet.join(meet.select("node", F.col("block").alias("other")), "node").filter("block <= other").select("block", "other").distinct()
-    sides = tasks.select(F.xxhash64("block", "other").alias("task"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    dealt = sides.join(at.join(sets, "rep"), "block").select("task", "block", "rep", "m", "n", "tokens", "k1")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(dealt.repartition(width, "task").sortWithinPartitions("task", "block", "rep").mapInPandas(_brute, "rep long, k1 long, other long, links long"), "links")
-    release(at, *used)
-
-    links = found.groupBy("rep", "k1").agg(F.sum("links").alias("links")).select(F.col("rep").alias("l_rep"), F.col("k1").alias("l_k1"), "links")
-    least = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    of = (
-        classes.select("k1", "k2", "rep", "m")
-        .join(links, (F.col("rep") == F.col("l_rep")) & (F.col("k1") == F.col("l_k1")), "left")
-        .join(least, F.col("rep") == F.col("node"), "left")
-        .select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("least", "rep").alias("class"), F.col("m"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("all"))
-    )
-    joined = sketch.select("doc_id", "k1", "k2", "n").join(of, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("all", F.lit(0)).alias("n_links"), F.coalesce("m", F.lit(1)).alias("n_copies"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their class: one of each group of near copies.  Of rows that
-    share that doc_id, the one with the least text stays.  Rows without a doc_id stay."""
-    keep = unused(docs, "keep_id")
-    ids = similar(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col(keep), "left_semi")
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    first = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row"))
-    return first.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    sides = settle(tasks.select(F.xxhash64("block", "other").alias("task"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block")), "tasks")
+    tokens = sides.join(at.groupBy("block").agg(F.sum("n").alias("n")), "block").agg(F.sum("n")).first()[0] or 0
+    dealt = sides.join(at.select("cls", "block"), "block").join(sets, "cls").select("task", "block", "cls", "m", "n", "tokens")
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * tokens // TASK_BYTES))
+    found = settle(dealt.repartition(width, "task").sortWithinPartitions("task", "block", "cls").mapInPandas(_brute, "cls long, other long, links long"), "links")
+    release(at, moved, sides, *used)
+
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    least = components(found.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cls")
+    out = classes.select("cls", "k1", "k2", "m", "first").join(links, "cls", "left").join(least, "cls", "left")
+    return sketch, settle(out.select("k1", "k2", "m", "first", F.coalesce("least", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "groups")
+
+
+def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, class_key for documents (doc_id, text).
+
+    ``class_id`` is the least doc_id of a document's connected component, ``n_links`` the number of
+    other rows at or above the threshold, ``n_copies`` how many have the very same set."""
+    sketch, classes = _search(docs, recall)
+    first = F.struct("first.none", "first.who")
+    heads = classes.groupBy("group").agg(F.min(first).alias("head"), F.min("k1").alias("class_key"), F.count(F.lit(1)).alias("held"))
+    named = join_by_size(classes, heads, ["group"], "held", classes.count())
+    of = named.select("k1", "k2", "m", "class_key", F.when(~F.col("head.none"), F.col("head.who")).alias("class_id"), (F.col("m") - 1 + F.col("links")).alias("n_links"))
+    own = F.when(~F.col("none"), F.col("who")).alias("doc_id")
+    worded = sketch.filter("n > 0").select(own, "k1", "k2")
+    blank = sketch.filter("n = 0").select(own, own.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_key"))
+    out = join_by_size(worded, of, ["k1", "k2"], "m", worded.count())
+    return out.select("doc_id", "class_id", "n_links", F.col("m").alias("n_copies"), "class_key").unionByName(blank)
+
+
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row of each component: that with the least doc_id (null ones last), of those the one whose
+    text has the least hash.  Rows without words stay, all of them."""
+    _, classes = _search(docs, recall)
+    heads = classes.groupBy("group").agg(F.min("first").alias("head")).select(*[F.col("head")[c].alias(c) for c in KEY])
+    # Rows alike in doc_id and text differ in other columns at most: the least hash of those decides.
+    told = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(worded).select(*_key(), F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64(*told).alias("order"))
+    single = rows.groupBy(*KEY).agg(F.min_by("row", "order").alias("row")).join(heads, KEY, "left_semi")
+    return single.select("row.*").unionByName(docs.filter(~worded))
 
 
 def op8(docs: DataFrame) -> DataFrame:
