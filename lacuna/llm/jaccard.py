@@ -51,8 +51,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.9995
 DEPTH, MAX_DEPTH = 3, 8
-LIMIT = 64
 BLOCK, BLOCK_TOKENS = 1024, 1 << 19
+#: A node that fits into a block is compared as it stands.
+LIMIT = BLOCK
 #: Bytes of tokens that a partition of the comparison gets.
 TASK_BYTES = 32 << 20
 #: A node is not split further once a child keeps more than this share of its documents.
@@ -304,7 +305,7 @@ def _nodes(rows: DataFrame, leaf: Column) -> DataFrame:
     sums = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("s2"), *own)
     sums = sums.filter("size > 1").select("node", "size", "s1", "s2", leaf.alias("done"))
     kept = sums.groupBy("size", "s1", "s2", "done", F.when(~F.col("done"), F.col("node")).alias("apart")).agg(F.min("node").alias("node"))
-    return join_by_size(rows, kept.select("node", "size", "done"), ["node"], "size", rows.count()).select("node", "size", "cls", "done")
+    return rows.join(kept, "node").select("node", "size", "cls", "done")
 
 
 KEY = ["none", "who", "t1", "t2"]
@@ -363,11 +364,10 @@ def _search(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     # large group share a home, and its blocks are full.
     home = leaf.groupBy("cls").agg(F.max(F.struct("size", "node")).alias("h")).select("cls", F.col("h.node").alias("home"))
     votes = leaf.join(home, "cls").groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
-    lead = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("lead"), F.sum("n").alias("held")).select("node", F.col("lead.n").alias("votes"), F.col("lead.home").alias("led"), "held")
-    led = join_by_size(leaf.select("cls", "node"), lead, ["node"], "held", leaf.count())
-    moved = settle(led.groupBy("cls").agg(F.max(F.struct("votes", "led")).alias("lead")).select("cls", F.col("lead.led").alias("home")).join(sets.select("cls", "n"), "cls"), "homes")
-    full = moved.groupBy("home").agg(F.count(F.lit(1)).alias("held"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    filled = join_by_size(moved, full, ["home"], "held", moved.count())
+    lead = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("lead"))
+    moved = leaf.join(lead, "node").groupBy("cls").agg(F.max("lead").alias("lead")).select("cls", F.col("lead.home").alias("home"))
+    moved = settle(moved.join(sets.select("cls", "n"), "cls"), "homes")
+    filled = moved.join(moved.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks")), "home")
     at = settle(filled.select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"), "n"), "blocks")
     meet = leaf.join(at, "cls").select("node", "block").distinct()
     tasks = meet.join(meet.select("node", F.col("block").alias("other")), "node").filter("block <= other").select("block", "other").distinct()

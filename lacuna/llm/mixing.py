@@ -1,22 +1,23 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame operations only.
 
-Slot k of the mix gets the golden-ratio point frac(k * phi).  The points, mapped through the
-sources' cumulative targets, name a source per slot, so that every stretch of the mix holds the
-sources in proportion.  A source's documents, shuffled by a hash, form a stream of words which is
-read up to three times over and cut into blocks of ``BLOCK`` words; the r-th slot of a source
-takes the r-th block of its stream.  A stream ends at its source's target (rounded), so no
-document is ever taken more than three times.
+The mix has N = 2**m slots of equal length (all words over N, between ``BLOCK`` / 2 and ``BLOCK``).  Slot k
+gets the van der Corput point of k, its m bits in reverse; the points, mapped through the sources'
+cumulative targets, name a source per slot, so that every stretch of the mix holds the sources in
+proportion and a source's slots miss its target by less than one.  A source's documents, shuffled
+by a hash, form a stream of words which is read up to three times over and cut into blocks of a
+slot's length; the r-th slot of a source takes the r-th block of its stream, and blocks without a
+slot are not taken.  The schedule alone decides: there is no other quota.
 
 Positions in a stream and ranks of slots are running sums over a whole source, and one source may
 hold most rows; both are made in two levels, within hash buckets (or stretches of slots) and then
-over the buckets' totals, so that no task gets a whole source.  Numbers of buckets grow with the
-square root of the rows.
+over the buckets' totals, so that no task gets a whole source.  Equal rows are told apart by a
+number, made in two levels as well, and spread over the buckets by it.  Numbers of buckets grow
+with the square root of the rows.  Targets take windows over one row per source.
 
 Defined cases: null sources are one source, last in order; null, empty and blank texts have size 0
-and are taken for 0 words; repeated rows are separate documents; an empty table gives an empty one;
-if nothing has a word every target is 0.  There are somewhat more slots than blocks (``SLACK``), so
-that the schedule's small unevenness leaves no source short; only a source whose whole target is a
-few blocks, among very many slots, may miss it by a block or two.
+and are taken for 0 words; repeated rows are separate documents; a text of any length spans as many
+blocks as it needs; an empty table gives an empty one; if nothing has a word every target is 0 and
+there is no slot.  A source at its cap of three times its size is read to its end.
 """
 
 from __future__ import annotations
@@ -26,28 +27,39 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, unused, words
+from .common import release, settle, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Words of a slot at most.
 BLOCK = 64
-#: Slots beyond the total of all blocks, as a share and at least: every source reaches its target.
-SLACK, LEAST_SLACK = 0.02, 256
-# Golden-ratio steps in whole numbers, round(2**40 / phi) made odd.
-UNIT = 1 << 40
-STEP = 679_535_556_991
-#: Cells that the unit interval is cut into, to join slots and sources by equality.
-CELL = UNIT // 4096
+#: Slot lengths are counted in this share of a word.
+FRACTION = 1 << 16
+#: Slots that a row of the schedule's plan unfolds into.
+CHUNK = 1 << 14
 
 
-def golden(k: Column) -> Column:
-    """The k-th point, of 0 to UNIT - 1; exact for k below 2**40."""
-    low, high = k % (1 << 20), F.shiftright(k, 20)
-    return (low * STEP + ((high * STEP) % (1 << 20)) * (1 << 20)) % UNIT
+def slot_bits(total: int) -> int:
+    """m for a mix of ``total`` words: the fewest slots that hold ``BLOCK`` words at most."""
+    return max(0, -(-total // BLOCK) - 1).bit_length()
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target, quota, lo, hi: one row per source.
+def reversed_bits(k: Column, m: int) -> Column:
+    """The van der Corput point of k in 2**m parts: the m low bits of k in reverse."""
+    half = 1
+    while half < m:
+        half *= 2
+    width, step, x = half, half // 2, k
+    while step:
+        # The places of every other group of ``step`` bits.
+        mask = sum(((1 << step) - 1) << at for at in range(0, width, 2 * step))
+        x = F.shiftrightunsigned(x, step).bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask).cast("long")), step))
+        step //= 2
+    return F.shiftrightunsigned(x, half - m) if m else F.lit(0).cast("long")
+
+
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, bits: int = 0) -> DataFrame:
+    """source, source_size, target, lo, hi: one row per source; points from lo to hi - 1 are its own.
 
     Sharing by weight with excess over the cap shared out again ends at one level L: a source gets
     min(cap, L * weight).  With sources in order of cap / weight, L follows from running sums at
@@ -69,33 +81,21 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
         # The first source, in order of cap / weight, that the level leaves under its cap sets it.
         .withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.row_number().over(by_cap).alias("k"), "level"))).over(every)["level"])
         .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))))
-        .withColumn("quota", F.least(F.round("target").cast("long"), F.col("cap")))
     )
     upto = by_name.rowsBetween(Window.unboundedPreceding, 0)
     share = F.sum("target").over(every)
-    edge = lambda c: F.when(share > 0, F.round(c / share * UNIT)).otherwise(0).cast("long")
-    return (
-        rows.withColumn("hi", edge(F.sum("target").over(upto)))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0)))
-        .select("source", "source_size", "target", "quota", "lo", "hi")
-    )
+    edge = F.when(share > 0, F.round(F.sum("target").over(upto) / share * (1 << bits))).otherwise(0).cast("long")
+    return rows.withColumn("hi", edge).withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0))).select("source", "source_size", "target", "lo", "hi")
 
 
-def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
-    """slot, source, rank: the schedule of a mix of ``total`` words."""
-    spark = targets.sparkSession
-    n = -(-total // block)
-    n += max(LEAST_SLACK, int(SLACK * n)) if n else 0
-    stretch = max(64, 1 << ((n.bit_length() + 1) // 2))
-    points = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"id div {stretch}").alias("stretch"), golden(F.col("id")).alias("u"))
-    cells = targets.filter("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {CELL}"), F.expr(f"(hi - 1) div {CELL}"))).alias("cell"))
-    named = (
-        points.withColumn("cell", F.expr(f"u div {CELL}"))
-        .join(cells, "cell")
-        .filter("u >= lo and u < hi")
-        .select("slot", "stretch", "source")
-        .repartition("stretch")
+def schedule(targets: DataFrame, bits: int) -> DataFrame:
+    """slot, source, rank: the source of every slot, and how many slots of it come before."""
+    stretch = max(64, 1 << ((bits + 2) // 2))
+    chunks = targets.filter("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {CHUNK}"), F.expr(f"(hi - 1) div {CHUNK}"))).alias("chunk"))
+    points = chunks.repartition("source", "chunk").select(
+        "source", F.explode(F.sequence(F.greatest("lo", F.col("chunk") * CHUNK), F.least("hi", (F.col("chunk") + 1) * CHUNK) - 1)).alias("u")
     )
+    named = points.select("source", reversed_bits(F.col("u"), bits).alias("slot")).withColumn("stretch", F.expr(f"slot div {stretch}")).repartition("stretch")
     within = F.row_number().over(Window.partitionBy("stretch", "source").orderBy("slot")) - 1
     ranked = named.withColumn("within", within)
     counts = named.groupBy("stretch", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -104,83 +104,130 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     return ranked.join(bases, (F.col("stretch") == F.col("b_stretch")) & F.col("source").eqNullSafe(F.col("b_source"))).select("slot", "source", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def positions(sized: DataFrame, n_docs: int, seed: int) -> DataFrame:
-    """``sized`` with ``at``: the words before a document in its source's shuffled stream."""
+def number_equals(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``copy``: equal rows (doc_id, source, tie) numbered from 0.
+
+    ``k`` is a row id whose high bits are a part of the table: rows are numbered within the parts,
+    and the parts' counts summed up, so that no task gets all copies of a row."""
+    alike = ["doc_id", "source", "tie"]
+    parted = sized.withColumn("part", F.shiftright("k", 33))
+    inner = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("k")) - 1
+    counts = parted.groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # Few rows have a copy in an earlier part; only for those there is a base to add.
+    bases = counts.withColumn("base", earlier).filter("base > 0").select(*[F.col(c).alias(f"b_{c}") for c in (*alike, "part")], "base")
+    same = F.col("part") == F.col("b_part")
+    for c in alike:
+        same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    numbered = parted.withColumn("inner", inner).join(bases, same, "left")
+    return numbered.select("k", *alike, "size", (F.coalesce("base", F.lit(0)) + F.col("inner")).alias("copy"))
+
+
+def positions(numbered: DataFrame, n_docs: int, seed: int) -> DataFrame:
+    """``numbered`` with ``at``: the words before a document in its source's shuffled stream."""
     buckets = max(64, 1 << ((n_docs.bit_length() + 1) // 2))
-    mixed = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tie")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = numbered.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tie", "copy")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie", "copy").rowsBetween(Window.unboundedPreceding, -1)
     inner = mixed.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
     sums = mixed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(earlier, F.lit(0)).alias("base"))
-    return inner.join(bases, (F.col("bucket") == F.col("b_bucket")) & F.col("source").eqNullSafe(F.col("b_source"))).select("doc_id", "source", "tie", "size", (F.col("base") + F.col("inner")).alias("at"))
+    placed = inner.join(bases, (F.col("bucket") == F.col("b_bucket")) & F.col("source").eqNullSafe(F.col("b_source")))
+    return placed.select("k", "doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("at"))
 
 
 @dataclass(frozen=True)
 class Places:
-    """documents: doc_id, source, tie, size, at, source_size, target, quota; targets: one row per
-    source; total: the words of all documents."""
+    """documents: k, doc_id, source, size, at, source_size, target; targets: one row per source;
+    total: the words of all documents; bits: the logarithm of the slots."""
 
     documents: DataFrame
     targets: DataFrame
     total: int
+    bits: int
+
+    @property
+    def length(self) -> int:
+        """A slot's length in parts of a word."""
+        return max(1, -(-self.total * FRACTION >> self.bits))
+
+    def rank(self, at: str) -> Column:
+        """The block that holds word ``at`` of a stream; block r begins at word r * length / FRACTION."""
+        return F.expr(f"(({at} + 1) * {FRACTION} - 1) div {self.length}")
+
+    def begin(self, rank: str) -> Column:
+        return F.expr(f"{rank} * {self.length} div {FRACTION}")
+
 
+def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """k (a row id), doc_id, source, size (words), tie (hash of the text)."""
+    return docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
 
-def place(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> Places:
-    """Measure the documents (doc_id, source, text), set the targets, and lay out the streams."""
-    sized = settle(docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("tie")), "mix-sizes")
+
+def place(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> Places:
+    """Set the targets of measured documents (a settled table of ``sizes``) and lay out the streams."""
     total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    targets = settle(source_targets(sized, weights), "mix-targets")
-    of = targets.select(F.col("source").alias("t_source"), "source_size", "target", "quota")
-    placed = positions(sized, n, seed).join(of, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    return Places(settle(placed, "mix-places"), targets, total)
+    bits = slot_bits(total)
+    targets = settle(source_targets(sized, weights, bits), "mix-targets")
+    of = targets.select(F.col("source").alias("t_source"), "source_size", "target")
+    placed = positions(number_equals(sized), n, seed).join(of, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    return Places(settle(placed, "mix-places"), targets, total, bits)
 
 
-def mix(places: Places, block: int = BLOCK) -> DataFrame:
-    """The mix: slot, rank, source, doc_id, tie, size, at, and the words taken there, ``first`` to
-    ``last`` (from 0, last excluded).  In order of slot and place this is the training stream."""
-    lo = F.col("pass") * F.col("source_size") + F.col("at")
-    parts = (
+def _with_slots(blocks: DataFrame, places: Places) -> DataFrame:
+    """Blocks (source, rank, ...) with the slot that the schedule has for them; those without go."""
+    slots = schedule(places.targets, places.bits).select("slot", F.col("source").alias("s_source"), F.col("rank").alias("s_rank"))
+    return blocks.join(slots, (F.col("rank") == F.col("s_rank")) & F.col("source").eqNullSafe(F.col("s_source")))
+
+
+def _passes(places: Places) -> DataFrame:
+    """The documents with words as often as a stream may be read, with their place ``lo`` in it.
+    Those far beyond a source's target are left out: the schedule has no slot there."""
+    return (
         places.documents.filter("size > 0")
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))))
-        .withColumn("lo", lo)
-        .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota")))
-        .filter("hi > lo")
-        .withColumn("rank", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
-        .withColumn("first", F.greatest("lo", F.col("rank") * block) - F.col("lo"))
-        .withColumn("last", F.least("hi", (F.col("rank") + 1) * block) - F.col("lo"))
+        .withColumn("lo", F.col("pass") * F.col("source_size") + F.col("at"))
+        .filter(F.col("lo") < F.col("target") + 2 * BLOCK)
     )
-    slots = schedule(places.targets, places.total, block).select("slot", F.col("source").alias("s_source"), F.col("rank").alias("s_rank"))
-    same = (F.col("rank") == F.col("s_rank")) & F.col("source").eqNullSafe(F.col("s_source"))
-    return parts.join(slots, same).select("slot", "rank", "source", "doc_id", "tie", "size", "at", "first", "last")
 
 
-def taken_words(places: Places, block: int = BLOCK) -> DataFrame:
-    """``places.documents`` with ``taken``.  Documents with words differ in (source, at)."""
-    sums = mix(places, block).groupBy(F.col("source").alias("m_source"), F.col("at").alias("m_at")).agg(F.sum(F.col("last") - F.col("first")).alias("words"))
-    same = (F.col("at") == F.col("m_at")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") > 0)
-    return places.documents.join(sums, same, "left").withColumn("taken", F.coalesce("words", F.lit(0))).drop("m_source", "m_at", "words")
+def mix(places: Places) -> DataFrame:
+    """The mix: slot, rank, source, k, doc_id, size, lo, and the words taken there, ``first`` to
+    ``last`` (from 0, last excluded).  In order of slot and lo this is the training stream."""
+    hi = F.col("lo") + F.col("size")
+    parts = (
+        _passes(places)
+        .withColumn("rank", F.explode(F.sequence(places.rank("lo"), places.rank("lo + size - 1"))))
+        .withColumn("first", F.greatest("lo", places.begin("rank")) - F.col("lo"))
+        .withColumn("last", F.least(hi, places.begin("(rank + 1)")) - F.col("lo"))
+    )
+    return _with_slots(parts, places).select("slot", "rank", "source", "k", "doc_id", "size", "lo", "first", "last")
+
+
+def taken_words(places: Places) -> DataFrame:
+    """``places.documents`` with ``taken`` (words), ``n_slots`` and ``first_slot`` (null: none)."""
+    sums = mix(places).groupBy("k").agg(F.sum(F.col("last") - F.col("first")).alias("words"), F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first_slot"))
+    return places.documents.join(sums, "k", "left").withColumns({"taken": F.coalesce("words", F.lit(0)), "n_slots": F.coalesce("slots", F.lit(0))}).drop("words", "slots")
 
 
 def whole_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """The mix in whole documents: the columns of ``docs``, a row for each time that a document's
-    first word lies before the end of its source's share (up to three times, or never).
+    """The mix in whole documents, in its order: the columns of ``docs``, a row for each time that the
+    block which holds a document's middle word has a slot (up to three times, or never).
 
-    Rows alike in doc_id, source and text share one number, the rounded mean of theirs.  Documents
-    without words are not taken.
+    A source comes within half a document of its target.  Documents without words are not taken.
+    Rows lie in order of their slots, over the partitions too.
     """
-    placed = place(docs, "text", weights, seed).documents
-    times = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.expr("(quota - at + source_size - 1) div source_size"))).otherwise(0)
-    doc, source, tie, n, turn = (unused(docs, f"k_{x}") for x in ("doc", "source", "tie", "times", "turn"))
-    keys = (
-        placed.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("tie").alias(tie))
-        .agg(F.round(F.avg(times)).cast("int").alias(n))
-        .filter(F.col(n) > 0)
-    )
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(tie))
-    repeated = docs.join(keys, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    held = settle(docs.select(row, "doc_id", "source", "text").select("row", "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("k")), "mix-rows")
+    places = place(held.select("k", "doc_id", "source", "size", "tie"), weights, seed)
+    middles = _passes(places).withColumn("rank", places.rank("lo + size div 2"))
+    turns = _with_slots(middles, places).select("k", "slot", "lo")
+    mixed = held.select("k", "row").join(turns, "k").repartitionByRange("slot", "lo").sortWithinPartitions("slot", "lo")
+    return mixed.select("row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return taken_words(place(docs)).select("doc_id", "size", "source", "source_size", "target", "taken")
+    sized = settle(sizes(docs), "mix-sizes")
+    out = taken_words(place(sized)).select("doc_id", "size", "source", "source_size", "target", "taken", "n_slots", "first_slot")
+    release(sized)
+    return out

@@ -121,8 +121,9 @@ def test_very_long_texts(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
-def test_large_groups_keep_their_links(spark):
+def test_large_groups_keep_their_links(spark, monkeypatch):
     """Groups of more than LIMIT texts with one body and differing tails: each run splits them anew."""
+    monkeypatch.setattr(jaccard, "LIMIT", 64)
     r = random.Random(3)
     bodies = [text(r, 60) for _ in range(12)]
     rows = list(enumerate((f"{body} {text(r, 6, 10**6)}" for body in bodies for _ in range(70)), 1))
