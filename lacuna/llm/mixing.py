@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, settle, words
+from .common import join_by_size, release, settle, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -35,8 +35,8 @@ MAX_REPEATS = 3
 BLOCK = 64
 #: Slot lengths are counted in this share of a word.
 FRACTION = 1 << 16
-#: Slots that a row of the schedule's plan unfolds into.
-CHUNK = 1 << 14
+#: Slots that a row of the schedule's plan unfolds into, and those of a partition.
+CHUNK, SLOTS_AT_ONCE = 1 << 14, 1 << 22
 
 
 def slot_bits(total: int) -> int:
@@ -59,20 +59,21 @@ def reversed_bits(k: Column, m: int) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, bits: int = 0) -> DataFrame:
-    """source, source_size, target, lo, hi: one row per source; points from lo to hi - 1 are its own.
+    """source, none, name, s (number), docs, source_size, target, lo, hi: one row per source; points from
+    lo to hi - 1 are its own.  ``sized`` has a source twice: none (it is null) and name (never null).
 
     Sharing by weight with excess over the cap shared out again ends at one level L: a source gets
     min(cap, L * weight).  With sources in order of cap / weight, L follows from running sums at
     the first source that stays under its cap.  Windows here run over one row per source.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(weights)
+    sums = sized.groupBy("none", "name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    by_name = Window.partitionBy(F.lit(0)).orderBy("none", "name")
     every = Window.partitionBy(F.lit(0))
-    by_cap = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    by_cap = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "s")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     rows = (
-        sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1))
+        sums.withColumn("s", F.row_number().over(by_name) - 1)
+        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("s") % len(weights) + 1))
         .withColumn("cap", MAX_REPEATS * F.col("source_size"))
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
@@ -85,31 +86,33 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, bits: i
     upto = by_name.rowsBetween(Window.unboundedPreceding, 0)
     share = F.sum("target").over(every)
     edge = F.when(share > 0, F.round(F.sum("target").over(upto) / share * (1 << bits))).otherwise(0).cast("long")
-    return rows.withColumn("hi", edge).withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0))).select("source", "source_size", "target", "lo", "hi")
+    source = F.when(~F.col("none"), F.col("name")).alias("source")
+    return rows.withColumn("hi", edge).withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0))).select(source, "none", "name", "s", "docs", "source_size", "target", "lo", "hi")
 
 
 def schedule(targets: DataFrame, bits: int) -> DataFrame:
-    """slot, source, rank: the source of every slot, and how many slots of it come before."""
+    """slot, s, rank: the source of every slot, and how many slots of it come before.
+
+    Sizes of what is unfolded from few rows can't be known beforehand, so joins here are merge joins."""
     stretch = max(64, 1 << ((bits + 2) // 2))
-    chunks = targets.filter("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {CHUNK}"), F.expr(f"(hi - 1) div {CHUNK}"))).alias("chunk"))
-    points = chunks.repartition("source", "chunk").select(
-        "source", F.explode(F.sequence(F.greatest("lo", F.col("chunk") * CHUNK), F.least("hi", (F.col("chunk") + 1) * CHUNK) - 1)).alias("u")
-    )
-    named = points.select("source", reversed_bits(F.col("u"), bits).alias("slot")).withColumn("stretch", F.expr(f"slot div {stretch}")).repartition("stretch")
-    within = F.row_number().over(Window.partitionBy("stretch", "source").orderBy("slot")) - 1
-    ranked = named.withColumn("within", within)
-    counts = named.groupBy("stretch", "source").agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select(F.col("stretch").alias("b_stretch"), F.col("source").alias("b_source"), F.coalesce(earlier, F.lit(0)).alias("base"))
-    return ranked.join(bases, (F.col("stretch") == F.col("b_stretch")) & F.col("source").eqNullSafe(F.col("b_source"))).select("slot", "source", (F.col("base") + F.col("within")).alias("rank"))
+    width = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // SLOTS_AT_ONCE)
+    chunks = targets.filter("hi > lo").select("s", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {CHUNK}"), F.expr(f"(hi - 1) div {CHUNK}"))).alias("chunk"))
+    own = F.sequence(F.greatest("lo", F.col("chunk") * CHUNK), F.least("hi", (F.col("chunk") + 1) * CHUNK) - 1)
+    points = chunks.repartition(width, "s", "chunk").select("s", F.explode(own).alias("u"))
+    named = points.select("s", reversed_bits(F.col("u"), bits).alias("slot")).withColumn("stretch", F.expr(f"slot div {stretch}"))
+    ranked = named.withColumn("within", F.row_number().over(Window.partitionBy("stretch", "s").orderBy("slot")) - 1)
+    counts = named.groupBy("stretch", "s").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("s").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("stretch", "s", F.coalesce(earlier, F.lit(0)).alias("base"))
+    return ranked.join(bases.hint("merge"), ["stretch", "s"]).select("slot", "s", (F.col("base") + F.col("within")).alias("rank"))
 
 
 def number_equals(sized: DataFrame) -> DataFrame:
-    """``sized`` with ``copy``: equal rows (doc_id, source, tie) numbered from 0.
+    """``sized`` with ``copy``: equal rows (doc_id, s, tie) numbered from 0.
 
     ``k`` is a row id whose high bits are a part of the table: rows are numbered within the parts,
     and the parts' counts summed up, so that no task gets all copies of a row."""
-    alike = ["doc_id", "source", "tie"]
+    alike = ["doc_id", "s", "tie"]
     parted = sized.withColumn("part", F.shiftright("k", 33))
     inner = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("k")) - 1
     counts = parted.groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n"))
@@ -119,26 +122,24 @@ def number_equals(sized: DataFrame) -> DataFrame:
     same = F.col("part") == F.col("b_part")
     for c in alike:
         same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    numbered = parted.withColumn("inner", inner).join(bases, same, "left")
-    return numbered.select("k", *alike, "size", (F.coalesce("base", F.lit(0)) + F.col("inner")).alias("copy"))
+    return parted.withColumn("inner", inner).join(bases, same, "left").withColumn("copy", F.coalesce("base", F.lit(0)) + F.col("inner"))
 
 
 def positions(numbered: DataFrame, n_docs: int, seed: int) -> DataFrame:
     """``numbered`` with ``at``: the words before a document in its source's shuffled stream."""
     buckets = max(64, 1 << ((n_docs.bit_length() + 1) // 2))
     mixed = numbered.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tie", "copy")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "tie", "copy").rowsBetween(Window.unboundedPreceding, -1)
     inner = mixed.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    sums = mixed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(earlier, F.lit(0)).alias("base"))
-    placed = inner.join(bases, (F.col("bucket") == F.col("b_bucket")) & F.col("source").eqNullSafe(F.col("b_source")))
-    return placed.select("k", "doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("at"))
+    sums = mixed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("s", "bucket", F.coalesce(earlier, F.lit(0)).alias("before"))
+    return inner.join(bases, ["s", "bucket"]).withColumn("at", F.col("before") + F.col("inner"))
 
 
 @dataclass(frozen=True)
 class Places:
-    """documents: k, doc_id, source, size, at, source_size, target; targets: one row per source;
+    """documents: k, doc_id, s, size, at, source, source_size, target; targets: one row per source;
     total: the words of all documents; bits: the logarithm of the slots."""
 
     documents: DataFrame
@@ -159,9 +160,18 @@ class Places:
         return F.expr(f"{rank} * {self.length} div {FRACTION}")
 
 
+def _facts(text: str = "text") -> list[Column]:
+    """k (a row id), doc_id, none and name (of the source), size (words), tie (hash of the text)."""
+    source = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
+    return [F.monotonically_increasing_id().alias("k"), F.col("doc_id"), *source, F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("tie")]
+
+
+FACTS = ["k", "doc_id", "none", "name", "size", "tie"]
+
+
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """k (a row id), doc_id, source, size (words), tie (hash of the text)."""
-    return docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
+    """What the mix has to know of documents (doc_id, source, text)."""
+    return docs.select(*_facts(text))
 
 
 def place(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> Places:
@@ -169,15 +179,14 @@ def place(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -
     total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     bits = slot_bits(total)
     targets = settle(source_targets(sized, weights, bits), "mix-targets")
-    of = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    placed = positions(number_equals(sized), n, seed).join(of, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    known = join_by_size(sized, targets.select("none", "name", "s", "docs", "source", "source_size", "target"), ["none", "name"], "docs", n)
+    placed = positions(number_equals(known), n, seed).select("k", "doc_id", "s", "size", "at", "source", "source_size", "target")
     return Places(settle(placed, "mix-places"), targets, total, bits)
 
 
 def _with_slots(blocks: DataFrame, places: Places) -> DataFrame:
-    """Blocks (source, rank, ...) with the slot that the schedule has for them; those without go."""
-    slots = schedule(places.targets, places.bits).select("slot", F.col("source").alias("s_source"), F.col("rank").alias("s_rank"))
-    return blocks.join(slots, (F.col("rank") == F.col("s_rank")) & F.col("source").eqNullSafe(F.col("s_source")))
+    """Blocks (s, rank, ...) with the slot that the schedule has for them; those without go."""
+    return blocks.join(schedule(places.targets, places.bits).hint("merge"), ["s", "rank"])
 
 
 def _passes(places: Places) -> DataFrame:
@@ -218,8 +227,8 @@ def whole_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     Rows lie in order of their slots, over the partitions too.
     """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    held = settle(docs.select(row, "doc_id", "source", "text").select("row", "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("k")), "mix-rows")
-    places = place(held.select("k", "doc_id", "source", "size", "tie"), weights, seed)
+    held = settle(docs.select(row, "doc_id", "source", "text").select("row", *_facts()), "mix-rows")
+    places = place(held.select(*FACTS), weights, seed)
     middles = _passes(places).withColumn("rank", places.rank("lo + size div 2"))
     turns = _with_slots(middles, places).select("k", "slot", "lo")
     mixed = held.select("k", "row").join(turns, "k").repartitionByRange("slot", "lo").sortWithinPartitions("slot", "lo")

@@ -118,13 +118,13 @@ def test_a_missing_slot_is_not_taken(spark, monkeypatch):
 
 def test_schedule_is_even(spark):
     p = placed(spark, CASES["even"])
-    slots = [r.source for r in schedule(p.targets, p.bits).orderBy("slot").collect()]
+    slots = [r.s for r in schedule(p.targets, p.bits).orderBy("slot").collect()]
     assert len(slots) == 1 << p.bits
-    share = {r.source: r.target / p.total for r in p.targets.collect()}
+    share = {r.s: r.target / p.total for r in p.targets.collect()}
     for n in (20, 60, len(slots)):
         for s, x in share.items():
             assert abs(slots[:n].count(s) - n * x) <= 4
-    ranks = schedule(p.targets, p.bits).groupBy("source").agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.count("*").alias("n"), F.countDistinct("rank").alias("d")).collect()
+    ranks = schedule(p.targets, p.bits).groupBy("s").agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.count("*").alias("n"), F.countDistinct("rank").alias("d")).collect()
     assert all(r.a == 0 and r.b == r.n - 1 and r.d == r.n for r in ranks)
 
 
