@@ -7,12 +7,14 @@ regular expression.  Detections are then taken in order of priority, length and
 lies inside an interval taken before is suppressed, so "gnu general public license version 2 or
 later" isn't also reported as the bare license name.  The base phrases are never suppressed.
 
-Rules are built from the families below: every name is crossed with its versions and ways of
-writing them.
+There are some 300 rules of sentences and phrases from the licenses' own texts and notices
+(``license_texts``), written by hand, and rules for names with versions, where every name of the
+families below is crossed with its versions and ways of writing them.
 
 Defined cases: null and empty texts have no words and no labels; places of a phrase may overlap;
-texts of any length are read whole, in linear time; rows are independent, so copies and ties
-repeat their results.
+texts of any length are read whole, each rule in linear time; d detections are sorted and told apart
+from those that hold them in d log d steps; rows are independent, so copies and ties repeat their
+results.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 # The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 BASE_SCORE = 0.9
@@ -86,32 +91,14 @@ VERSIONED = {
     "mulan-psl": (("mulan permissive software license", "mulan psl"), "mulan", ("1", "2")),
 }
 BSD = {"0bsd": ("zero clause", "0 clause"), "bsd-2-clause": ("2 clause", "two clause", "simplified"), "bsd-3-clause": ("3 clause", "three clause", "new", "modified", "revised"), "bsd-4-clause": ("4 clause", "four clause", "original")}
-# Sentences that stand in the licenses' texts.
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ments?"),
-    ("zlib", "this software is provided as is without any express or implied warranty"),
-    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", "released into the public domain"),
-    ("public-domain", "dedicated to the public domain"),
-    ("all-rights-reserved", "all rights reserved"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mit", "licensed under mit"),
-    ("mit", "mit licensed"),
-    ("mit", "the mit license"),
-    ("mit", "released under the mit license"),
-    ("mit", "expat license"),
-)
+#: The words that announce a license by its identifier.
+SPDX = "spdx license identifier"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``keyword`` is a literal that every match of ``pattern`` holds."""
+    """``keyword`` is a literal, from the start of a word, that every match of ``pattern`` holds.  If the
+    pattern has a group ``id``, that says the label, with spaces for hyphens and dots."""
 
     label: str
     pattern: str
@@ -127,6 +114,33 @@ def _version(v: str) -> str:
     return f"(?:v(?:ersion)? ?)?{major}(?:{tail})?(?! \\d)" if minor == "0" else f"(?:v(?:ersion)? ?)?{major}{tail}"
 
 
+def literal(pattern: str) -> str:
+    """The longest literal, from the start of a word, that every match of a pattern holds."""
+    runs, run, depth, k = [], "", 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c in "([":
+            depth += 1
+        if depth or c in ".{?*+}":
+            if run and c in "?*{":
+                run = run[:-1]
+            runs.append(run)
+            run = ""
+            if c == "{":
+                k = pattern.index("}", k)
+        else:
+            run += c
+        if c in ")]":
+            depth -= 1
+            run = "\0"  # what follows a group may go on with its word
+        k += 1
+    runs.append(run)
+    # Behind a group or a wildcard only whole words count.
+    first, *others = runs
+    whole = [first] + [r[r.index(" ") + 1 :] for r in others if " " in r]
+    return max((r.strip() for r in whole), key=len)
+
+
 def build_rules() -> list[Rule]:
     """All rules, in order of priority."""
     rules: list[Rule] = []
@@ -159,9 +173,9 @@ def build_rules() -> list[Rule]:
         for name in names:
             rules.append(Rule(label, f"(?:{name} bsd|bsd {name})(?: licen[sc]e)?", "bsd", 30, 0.9))
     rules.append(Rule("bsd", "bsd licen[sc]e", "bsd", 15, 0.7))
-    rules += [Rule(label, text, text.replace("e?ments?", ""), 20 + len(text) // 8, 0.75 if len(text) < 30 else 0.95) for label, text in NOTICES]
-    ids = sorted({r.label for r in rules})
-    rules += [Rule(x, f"spdx license identifier {re.sub(r'[-.]', ' ', x)}(?! \\d)", "spdx license identifier", 90, 1.0) for x in ids]
+    rules += [Rule(label, text, literal(text), 20 + min(60, len(text) // 8), 0.75 if len(text) < 30 else 0.95) for label, text in TEXTS]
+    ids = sorted({re.sub(r"[-.]", " ", r.label) for r in rules}, key=lambda x: (-len(x), x))
+    rules.append(Rule("", f"{SPDX} (?P<id>{'|'.join(map(re.escape, ids))})(?! \\d)", SPDX, 90, 1.0))
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -184,12 +198,35 @@ class Detection:
     base: bool
 
 
+class _Ends:
+    """The largest end of the intervals taken so far that begin at a place or before (a Fenwick tree)."""
+
+    def __init__(self, n: int):
+        self.top = [-1] * (n + 1)
+
+    def add(self, place: int, end: int) -> None:
+        place += 1
+        while place < len(self.top):
+            if self.top[place] < end:
+                self.top[place] = end
+            place += place & -place
+
+    def upto(self, place: int) -> int:
+        place, end = place + 1, -1
+        while place:
+            if self.top[place] > end:
+                end = self.top[place]
+            place -= place & -place
+        return end
+
+
 class Scanner:
     def __init__(self, rules: list[Rule] | None = None):
         import ahocorasick
 
         self.rules = build_rules() if rules is None else sorted(rules, key=lambda r: -r.priority)
-        self.patterns = [re.compile(rf"(?<= ){r.pattern}(?= )") for r in self.rules]
+        self.patterns = [re.compile(rf"(?<= )(?:{r.pattern})(?= )") for r in self.rules]
+        self.labels = {re.sub(r"[-.]", " ", r.label): r.label for r in self.rules}
         by_word: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
             by_word.setdefault(f" {r.keyword}", []).append(i)
@@ -205,23 +242,31 @@ class Scanner:
         hits = {word: ids for _, (word, ids) in self.automaton.iter(line)} if n else {}
         if not hits:
             return n, []
-        found: list[Detection] = []
-        taken: list[tuple[int, int]] = []
-
-        def detect(label: str, lo: int, hi: int, score: float, base: bool) -> None:
-            first = line.count(" ", 0, lo) - 1
-            found.append(Detection(label, first, line.count(" ", lo, hi) + 1, score, base))
-
+        # label, first character, end, score, base
+        places: list[tuple[str, int, int, float, bool]] = []
         for phrase, label in BASE:
             at = line.find(f" {phrase} ")
             while at >= 0:
-                detect(label, at + 1, at + 1 + len(phrase), BASE_SCORE, True)
+                places.append((label, at + 1, at + 1 + len(phrase), BASE_SCORE, True))
                 at = line.find(f" {phrase} ", at + 1)
-        raw = [(r.priority, m.start() - m.end(), m.start(), m.end(), i) for i in sorted({i for ids in hits.values() for i in ids}) for r in (self.rules[i],) for m in self.patterns[i].finditer(line)]
-        for _, _, lo, hi, i in sorted(raw, key=lambda x: (-x[0], x[1], x[2], x[4])):
-            if not any(a <= lo and hi <= b for a, b in taken):
-                taken.append((lo, hi))
-                detect(self.rules[i].label, lo, hi, self.rules[i].score, False)
+        raw = []
+        for i in sorted({i for ids in hits.values() for i in ids}):
+            r = self.rules[i]
+            raw += [(-r.priority, m.start() - m.end(), m.start(), i, m) for m in self.patterns[i].finditer(line)]
+        raw.sort(key=lambda x: x[:4])
+        begins = {lo: k for k, lo in enumerate(sorted({x[2] for x in raw}))}
+        taken = _Ends(len(begins))
+        for _, _, lo, i, m in raw:
+            if taken.upto(begins[lo]) < m.end():
+                taken.add(begins[lo], m.end())
+                r = self.rules[i]
+                places.append((r.label or self.labels[m["id"]], lo, m.end(), r.score, False))
+        if not places:
+            return n, []
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        first = np.searchsorted(spaces, [p[1] - 1 for p in places])
+        last = np.searchsorted(spaces, [p[2] for p in places])
+        found = [Detection(label, int(a), int(b - a), score, base) for (label, _, _, score, base), a, b in zip(places, first, last)]
         return n, sorted(found, key=lambda d: (d.first_word, d.n_words, d.label, d.base))
 
 
