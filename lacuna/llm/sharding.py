@@ -4,9 +4,12 @@ Every document gets a global row number; a Feistel network with cycle walking pe
 the image p gives the shard p mod S and the slot p div S.  Anyone who has the row number, n and
 the key can compute both, and nothing has to be sorted into a random order.
 
-Row numbers run through hash buckets of doc_id, and by doc_id within a bucket: buckets are
-numbered in parallel and one small running sum joins them, so no task sorts more than a bucket.
-The number of buckets grows with the square root of the rows.
+Row numbers run through hash buckets, and by doc_id within a bucket: buckets are numbered in parallel
+and one small running sum joins them, so no task sorts more than a bucket.  Rows that are equal in
+all that counts (doc_id, size, checksum, hash of the text) are interchangeable: they are merged first, numbered
+as a group, ``COPIES`` at a time, each such part in a bucket of its own, and unfolded afterwards, so a
+row that is repeated any number of times burdens no task.  The number of buckets grows with the
+square root of the rows.
 
 The law that holds is ``rows``: shards differ by one row at most, slots have no gaps.
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 SHARDS = 16
 ROUNDS = 6
+#: Equal rows that are numbered together.
+COPIES = 1 << 16
 KEY = 0x5EED
 
 
@@ -77,15 +82,19 @@ def invert(images: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_rows(docs: DataFrame, n: int, key: str = "doc_id", tie: str = "tie", into: str = "row") -> DataFrame:
-    """``docs`` of ``n`` rows with consecutive numbers from 0, the same in every run."""
+def number_rows(facts: DataFrame, n: int, into: str = "row") -> DataFrame:
+    """The ``n`` rows of ``facts`` with consecutive numbers from 0 in column ``into``, the same in every
+    run.  Rows that are equal in all columns get neighbouring numbers, ``COPIES`` at a time."""
+    own = facts.columns
     buckets = max(64, 1 << ((n.bit_length() + 5) // 2))
-    held = docs.withColumn("_bucket", F.pmod(F.xxhash64(key, tie), F.lit(buckets)))
-    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, tie)) - 1
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    bases = held.groupBy(F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_base"))
-    numbered = held.withColumn("_inner", inner).join(bases, F.col("_bucket") == F.col("_b"))
-    return numbered.withColumn(into, F.col("_base") + F.col("_inner")).drop("_bucket", "_b", "_n", "_base", "_inner")
+    groups = facts.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies"))
+    parts = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES}"))))
+    held = parts.withColumn("_held", F.least(F.lit(COPIES), F.col("_copies") - F.col("_part") * COPIES)).withColumn("_bucket", F.pmod(F.xxhash64(*own, "_part"), F.lit(buckets)))
+    within = Window.partitionBy("_bucket").orderBy(*own, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    bases = held.groupBy("_bucket").agg(F.sum("_held").alias("_n")).select("_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
+    first = held.withColumn("_inner", F.coalesce(F.sum("_held").over(within), F.lit(0))).join(bases, "_bucket").withColumn("_first", F.col("_base") + F.col("_inner"))
+    return first.select(*own, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_held") - 1)).alias(into))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:

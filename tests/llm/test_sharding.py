@@ -37,6 +37,18 @@ def test_law(spark, n):
     assert sorted(map(repr, got)) == sorted(map(repr, op10(docs.repartition(2)).collect()))
 
 
+def test_repeated_rows(spark, monkeypatch):
+    """A row that stands many times is numbered in parts, the same in every run, and takes its places."""
+    from lacuna.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "the same")] * 500 + [(None, None)] * 90 + [(k, "x" * k) for k in range(60)] + [(3, "long " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = assign(docs.repartition(5)).collect()
+    assert sorted(r.row for r in got) == list(range(len(rows)))
+    assert sorted(map(repr, got)) == sorted(map(repr, assign(docs.repartition(2)).collect()))
+
+
 def test_places_are_computable(spark):
     docs = spark.createDataFrame([(k, str(k)) for k in range(500)] + [(None, None)], "doc_id long, text string")
     rows = assign(docs).collect()
