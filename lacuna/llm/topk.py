@@ -6,12 +6,15 @@ other.  What the remaining dimensions can still add is at most the product of th
 norms; pairs whose score so far plus that bound stays below the query's k-th best are dropped,
 and once few pairs survive they are compacted and carried on by themselves.
 
-Queries and candidates are dealt out over a grid of cells: a cell holds at most ``CELL_QUERIES``
-queries and streams its candidates, block by block, and returns its k best per query; a window
-over those picks the k best of all.  Copies of one vector spread over the blocks like others.
-
-Defined cases: a null id, a null vector, or one with null or non-finite components takes no part;
-vectors of different lengths are not compared; rows that repeat an id are separate queries and
+Queries and candidates are dealt out over a grid of cells: a cell holds about ``CELL_BYTES`` of queries
+and streams its candidates, block by block, and returns its k best per query; a window over those
+picks the k best of all.  Every block of candidates goes to each strip of queries, so strips are as
+long as memory allows.  Blocks come in order of their largest norm, so that bounds are tight early,
+and a block whose norms can't reach any query's k-th best is passed over whole.  Copies of one
+vector spread over the blocks like others.
+
+Defined cases: a null id, a null vector, or one with null or non-finite components takes no part, nor
+does one with components beyond whole numbers of 64 bits when scaled; vectors of different lengths are not compared; rows that repeat an id are separate queries and
 candidates; fewer than k candidates give all; an empty table gives an empty one.
 """
 
@@ -28,9 +31,9 @@ from .common import settle
 
 K = 20
 SCALE = 64
-#: Vectors in a block, and queries in a cell.
+#: Vectors in a block, and bytes of queries in a cell.
 BLOCK = 1024
-CELL_QUERIES = 4096
+CELL_BYTES = 32 << 20
 QUERY_STRIP = 256
 DIM_BLOCK = 16
 #: Surviving share of a strip's pairs below which they are compacted.
@@ -38,7 +41,7 @@ COMPACT_BELOW = 0.1
 
 
 def pack(vectors: DataFrame, query_every: int, scale: int = SCALE) -> DataFrame:
-    """Blocks: query, block, dim, n, ids, rows (row keys), columns (int64, dimension by dimension)."""
+    """Blocks: query, block, dim, n, norm (the largest), ids, rows (row keys), columns (int64, dimension by dimension)."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[bool, int], list[tuple[int, int, np.ndarray]]] = {}
@@ -46,14 +49,17 @@ def pack(vectors: DataFrame, query_every: int, scale: int = SCALE) -> DataFrame:
         def emit(key: tuple[bool, int]) -> pd.DataFrame:
             rows = held.pop(key)
             ids, keys, data = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            return pd.DataFrame({"query": [key[0]], "block": [int(keys[0])], "dim": [key[1]], "n": [len(rows)], "ids": [ids.tobytes()], "rows": [keys.tobytes()], "columns": [np.ascontiguousarray(data.T).tobytes()]})
+            return pd.DataFrame({"query": [key[0]], "block": [int(keys[0])], "dim": [key[1]], "n": [len(rows)], "norm": [float(np.sqrt((data.astype(np.float64) ** 2).sum(axis=1).max()))], "ids": [ids.tobytes()], "rows": [keys.tobytes()], "columns": [np.ascontiguousarray(data.T).tobytes()]})
 
         for pdf in batches:
             for vec_id, row, vector in zip(pdf["vec_id"].to_numpy(), pdf["row"].to_numpy(), pdf["embedding"]):
                 x = np.array(vector, dtype=np.float64)
                 if not np.isfinite(x).all():
                     continue
-                whole = np.floor(scale * x).astype(np.int64)
+                whole = np.floor(scale * x)
+                if (np.abs(whole) >= 2.0**63).any():
+                    continue
+                whole = whole.astype(np.int64)
                 for query in (False, True) if vec_id % query_every == 0 else (False,):
                     group = held.setdefault((query, len(whole)), [])
                     group.append((int(vec_id), int(row), whole))
@@ -63,7 +69,7 @@ def pack(vectors: DataFrame, query_every: int, scale: int = SCALE) -> DataFrame:
             yield emit(key)
 
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), "embedding").filter("vec_id is not null and embedding is not null")
-    return found.mapInPandas(blocks, "query boolean, block long, dim int, n int, ids binary, rows binary, columns binary")
+    return found.mapInPandas(blocks, "query boolean, block long, dim int, n int, norm double, ids binary, rows binary, columns binary")
 
 
 class Best:
@@ -102,6 +108,8 @@ def search_block(best: Best, queries: np.ndarray, query_rows: np.ndarray, column
     for lo in range(0, m, QUERY_STRIP):
         hi = min(m, lo + QUERY_STRIP)
         least = best.least[lo:hi]
+        if (q_rest[0][lo:hi] * c_rest[0].max(initial=0.0) * (1 + 1e-9) + 1e-3 < least).all():
+            continue  # nothing in the block can be among the best
         score = np.zeros((hi - lo, columns.shape[1]), exact)
         at = pairs = None
         for step in range(len(cuts) - 1):
@@ -178,15 +186,15 @@ def top_k(vectors: DataFrame, query_every: int, k: int = K, scale: int = SCALE)
     spark = vectors.sparkSession
     packed = settle(pack(vectors, query_every, scale), "vector-blocks")
     sizes = {r["dim"]: r for r in packed.groupBy("dim").agg(F.sum(F.when(F.col("query"), F.col("n")).otherwise(0)).alias("m"), F.count(F.lit(1)).alias("b")).collect()}
-    most = max((r["m"] for r in sizes.values()), default=0)
-    strips = max(1, -(-most // CELL_QUERIES))
+    most = max((r["m"] * 8 * max(1, r["dim"]) for r in sizes.values()), default=0)
+    strips = max(1, -(-most // CELL_BYTES))
     groups = max(1, min(max((r["b"] for r in sizes.values()), default=1), -(-2 * spark.sparkContext.defaultParallelism // strips)))
     hashed = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = packed.filter("query").withColumn("strip", hashed(strips)).withColumn("group", every(groups))
     others = packed.filter("not query").withColumn("group", hashed(groups)).withColumn("strip", every(strips))
     cells = queries.unionByName(others).withColumn("cell", F.concat_ws("/", "dim", "strip", "group"))
-    dealt = cells.repartition(max(1, strips * groups), "cell").sortWithinPartitions("cell", F.col("query").desc(), "block")
+    dealt = cells.repartition(max(1, strips * groups), "cell").sortWithinPartitions("cell", F.col("query").desc(), F.col("norm").desc(), "block")
     part = dealt.select("cell", "query", "dim", "n", "ids", "rows", "columns").mapInPandas(_cells(k), "query_id long, query_row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

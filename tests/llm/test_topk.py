@@ -10,7 +10,7 @@ SCHEMA = "vec_id long, embedding array<float>"
 
 
 def brute(rows):
-    kept = [(i, [int(np.floor(64.0 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept = [(i, [int(np.floor(64.0 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 2**57 for x in v)]
     out = []
     for a, (q, v) in enumerate(kept):
         if q % 20:
@@ -35,6 +35,7 @@ CASES = {
     "nulls and odd numbers": [(20, None), (None, [1.0, 2.0]), (40, [1.0, float("nan")]), (60, [1.0, None]), (80, [float("inf"), 1.0]), (100, []), (0, [1.0, 1.0]), (3, [0.0, -1.0]), (5, [2.0, 2.0])],
     "mixed lengths": random_rows(50, 4, 6) + [(i + 100, v) for i, v in random_rows(50, 6, 7)],
     "large numbers": random_rows(80, 4, 8, 1e6),
+    "beyond 64 bits": random_rows(40, 3, 10) + [(100, [3e18, 1.0, 1.0]), (120, [-1e30, 0.0, 0.0])],
     "hot vector": random_rows(100, 8, 9) + [(i + 100, [0.5] * 8) for i in range(300)],
 }
 
