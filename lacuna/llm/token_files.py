@@ -20,7 +20,9 @@ before a document in earlier files come from the files' totals; nothing of the d
 the driver.
 
 Defined cases: a null text encodes as the empty text and so does an empty one (the end id alone);
-repeated doc_ids keep one entry each, ordered by their texts; a null doc_id comes first.
+repeated doc_ids keep one entry each, ordered by a hash of their texts, then the texts; a null doc_id
+comes first.  Texts of any length are encoded whole.  The folder is written and read through pyarrow's
+file systems (local ones, HDFS, S3, GCS, Azure).
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ END_ID = 2
 NO_ID = -(2**63)
 #: Distinct words whose ids a worker remembers.
 WORDS_KEPT = 500_000
+#: Texts on which a tokenizer is tried out.
+PROBES = 300
 #: Characters encoded together, and rows handed to a worker together.
 CHARS_AT_ONCE, ROWS_AT_ONCE = 3_000_000, 2000
 _BLOCK, _TAIL = struct.Struct("<IBBHH"), struct.Struct("<QIQQ4s")
@@ -148,11 +152,12 @@ def read_ids(source) -> Iterator[tuple[int | None, np.ndarray]]:
 class Encoder:
     """Ids of whole texts.
 
-    The tokenizer's normalizer and pre-tokenizer never look across ASCII white space, so a text's
-    ids are those of its words between spaces and line feeds, in order.  A distinct word goes
-    through the tokenizers library once and is remembered, until ``WORDS_KEPT`` are; new words are
-    encoded many at a time, with a special token between them, which the library cuts out before
-    anything else.
+    Where the tokenizer's normalizer and pre-tokenizer never look across a space or line feed, a text's
+    ids are those of its words between them, in order.  A distinct word then goes through the
+    tokenizers library once and is remembered, until ``WORDS_KEPT`` are; new words are encoded many at
+    a time, with a special token between them, which the library cuts out before anything else.
+    That is tried out on ``PROBES`` texts made of the vocabulary; a tokenizer that fails there, such
+    as one with spaces inside its tokens, gets whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -164,6 +169,18 @@ class Encoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word and not t.lstrip and not t.rstrip}
         self.cut = max(special.items(), default=None)
+        self.by_word = True
+        probes = self._probes()
+        self.by_word = all((a[:-1] == b).all() if len(a) == len(b) + 1 else False for a, b in zip(self(probes), self._encode(probes)))
+        self.known.clear()
+
+    def _probes(self) -> list[str]:
+        """Texts of the vocabulary's tokens, alone, joined by spaces and line feeds of any number."""
+        tokens = sorted(self.tokenizer.get_vocab())
+        step = max(1, len(tokens) // (4 * PROBES))
+        plain = [self.tokenizer.decode([self.tokenizer.token_to_id(t)], skip_special_tokens=False) or t for t in tokens[::step]]
+        gaps = (" ", "\n", "  ", " \n", "\n ", "\n\n ")
+        return [gaps[k % 6].join(plain[k::PROBES]) for k in range(PROBES)] + [f"{g}{plain[0]}{g}" for g in gaps]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -185,13 +202,16 @@ class Encoder:
                     at = stop + 4
 
     def __call__(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
+        tail = np.array([end], np.uint32)
+        if not self.by_word:
+            return [np.concatenate([ids, tail]) for ids in self._encode(texts)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known))
         full = len(known) >= WORDS_KEPT
         self._learn(new)
-        tail, ids = np.array([end], np.uint32).tobytes(), known.__getitem__
-        out = [np.frombuffer(b"".join(map(ids, ws)) + tail, np.uint32) for ws in split]
+        ids, last = known.__getitem__, tail.tobytes()
+        out = [np.frombuffer(b"".join(map(ids, ws)) + last, np.uint32) for ws in split]
         if full:  # the words known by then, frequent ones among them, stay
             for w in new:
                 del known[w]

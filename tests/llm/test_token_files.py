@@ -12,6 +12,7 @@ from lacuna.llm.entry import tokenizer_path
 from lacuna.llm.token_files import BLOCK_IDS, Encoder, decode_block, encode_block, op2, read_ids, write_ids
 
 PATH = tokenizer_path("word_bpe_49k.json")
+ENCODE = Encoder(PATH)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 50), min_size=1, max_size=300))
@@ -52,13 +53,31 @@ def test_encoder_equals_the_library(monkeypatch, kept):
             assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
+@given(st.lists(st.text(max_size=40) | st.text("ab ' \n\t<|>.,\u0301\u0338\u1100\u1161e", max_size=60), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_random_texts_equal_the_library(texts):
+    for text, ids in zip(texts, ENCODE(texts)):
+        assert ids.tolist() == ENCODE.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_a_tokenizer_that_looks_across_spaces_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = str(tmp_path / "t.json")
+    Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "a ": 3, "a b": 4, "\n": 5}, [("a", " "), ("a ", "b")])).save(path)
+    encode = Encoder(path)
+    assert not encode.by_word and ENCODE.by_word
+    assert [x.tolist() for x in encode(["a b a", "", "a\nb"])] == [[4, 2, 0, 2], [2], [0, 5, 1, 2]]
+
+
 def test_query(spark):
     rows = [(k * 7 % 50, TEXTS[k % len(TEXTS)] + f" {k}") for k in range(50)] + [(5, None), (5, ""), (None, "x"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 AS start", "8 AS n_tokens").repartition(7)
     got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in op2(docs, PATH).collect())
     assert [g[1] for g in got] == sorted(-1 if k is None else k for k, _ in rows)
-    at, encode = 0, Encoder(PATH)
-    want = sorted((-1 if k is None else k, zlib.crc32(encode([t or ""])[0].astype("<u4").tobytes())) for k, t in rows)
+    at = 0
+    plain = [ENCODE.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows]
+    want = sorted((-1 if k is None else k, zlib.crc32(np.array(ids, "<u4").tobytes())) for (k, _), ids in zip(rows, plain))
     for start, _, n, _ in got:
         assert start == at
         at += n
