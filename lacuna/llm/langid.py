@@ -38,7 +38,7 @@ SWITCH = 12.0
 #: A script belongs to a language if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.01
 #: Distinct words whose scores a worker remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 # Code-point ranges of scripts.
 SCRIPTS = {
@@ -247,7 +247,7 @@ def identify(model: Model, texts: list[str | None], penalty: float = SWITCH) ->
 
 SCHEMA = "lang string, score double, spans array<struct<lang:string,first_word:long,n_words:long,letters:long>>"
 #: Characters that are labelled together.
-CHARS_AT_ONCE = 12_000_000
+CHARS_AT_ONCE = 6_000_000
 
 
 def label(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:

@@ -7,10 +7,12 @@ whole segmentation is drawn with its exact probability.  The random numbers are
 row's key and the place in the text: the same row always gets the same pieces, in whatever batch,
 partition or attempt.
 
-Pieces hold the space mark only at their start (or consist of it), so nothing crosses from a
-character to a following space, nor a line feed, which is no piece.  The lattice therefore falls
-apart into chunks, and the lattice of a distinct chunk is built once.  All chunks of a batch are
-sampled together, one piece of each at a step.
+Pieces hold the space mark only at their start (or consist of it) and no line feed, which is checked
+when a model is read, so nothing crosses from a character to a following space, nor a line feed.
+The lattice therefore falls apart into chunks, long ones also wherever no piece that matches
+crosses, and the lattice of a distinct chunk is built once.  All chunks of a batch are sampled
+together, one piece of each at a step.  A long chunk that nowhere falls apart (one repeated letter,
+say) is filtered a stripe of nodes at a time.
 
 A piece's weight is 1 / rank**power, by its rank in the vocabulary.
 
@@ -46,6 +48,8 @@ CHARS_AT_ONCE = 2_000_000
 CHUNKS_KEPT = 300_000
 #: Longest chunk whose lattice is built together with others.
 VECTOR_CHARS = 40
+#: Nodes of a longer chunk that are filtered before their edges are put away.
+STRIPE = 20_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -68,6 +72,8 @@ class Pieces:
                 for k in range(1, len(name)):
                     self.table.setdefault(name[:k], -1)
                 self.table[name] = i
+        if odd := [n for n in self.table if "\n" in n or re.search(rf"[^{SPACE}]{SPACE}", n)]:
+            raise ValueError(f"pieces that go on behind a space or line feed: {odd[:3]}")
         self.rare = 1.0 / (rank + 2) ** power
         self.longest = max(map(len, self.table))
         # What a piece decodes to; bytes of ASCII characters are those, others need their neighbours.
@@ -133,8 +139,9 @@ class Pieces:
             own = getattr(self, name)
             setattr(self, name, np.concatenate([own, *[p[1][k].astype(own.dtype) for p in parts]]))
 
-    def _edges(self, total: np.ndarray, weight: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> tuple:
-        """Edges of nodes x lengths matrices; ids of -1 stand for a character's bytes."""
+    def _edges(self, total: np.ndarray, weight: np.ndarray, ids: np.ndarray, codes: np.ndarray, back: int = 1) -> tuple:
+        """Edges of nodes x lengths matrices; ids of -1 stand for the bytes of the character that ends
+        at a node, which is ``back`` places before the node's own."""
         flow = weight[:, ::-1]
         there = flow > 0
         counts = there.sum(axis=1)
@@ -145,7 +152,7 @@ class Pieces:
         sizes, extra = np.ones(len(first), np.int8), {}
         node_of = np.nonzero(there)[0]
         for e in np.flatnonzero(first < 0).tolist():
-            own = [self.byte_ids[b] for b in chr(codes[node_of[e] - 1]).encode("utf-8", "surrogatepass")]
+            own = [self.byte_ids[b] for b in chr(codes[node_of[e] - back]).encode("utf-8", "surrogatepass")]
             first[e], sizes[e] = own[0], len(own)
             if len(own) > 1:
                 extra[e] = own
@@ -190,32 +197,78 @@ class Pieces:
             total[node] = flow.sum(axis=1)
         return self._edges(total, weight, ids, codes)
 
+    def _matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and ids of the pieces that end at each node of one chunk, by length; -1 for bytes."""
+        width, n = self.longest, len(codes)
+        weight, ids = np.zeros((n + 1, width)), np.zeros((n + 1, width), np.int32)
+        at, state = np.arange(n), None
+        single = np.zeros(n, bool)
+        for k in range(1, width + 1):
+            key = codes[at + k - 1] if state is None else state.astype(np.int64) << 21 | codes[at + k - 1]
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            ok = self.steps[place] == key
+            at, state = at[ok], self.targets[place[ok]]
+            v = self.piece_at[state]
+            has = v >= 0
+            weight[at[has] + k, k - 1], ids[at[has] + k, k - 1] = self.weights[v[has]], v[has]
+            if k == 1:
+                single[at[has]] = True
+            go = at + k < n
+            at, state = at[go], state[go]
+            if not len(at):
+                break
+        odd = np.flatnonzero(~single)
+        weight[odd + 1, 0], ids[odd + 1, 0] = self.rare, -1
+        return weight, ids
+
+    def parts(self, chunk: str) -> list[str]:
+        """A long chunk cut wherever no piece that matches crosses."""
+        if len(chunk) <= VECTOR_CHARS:
+            return [chunk]
+        codes, out, held = _codes(chunk), [], 0
+        # A stripe begins at a cut, or as many characters as the longest piece before its first node.
+        for lo in range(0, len(codes), STRIPE):
+            begin, end = max(0, lo - self.longest), min(len(codes), lo + STRIPE + self.longest)
+            weight, _ = self._matches(codes[begin:end])
+            node, shorter = np.nonzero(weight)  # the length less one
+            # An edge crosses the nodes between the one before it and the one behind it.
+            crossed = np.zeros(end - begin + 2, np.int64)
+            np.add.at(crossed, node - shorter, 1)
+            np.add.at(crossed, node, -1)
+            free = np.flatnonzero(np.cumsum(crossed)[: end - begin + 1] == 0) + begin
+            for cut in free[(free > max(lo, held)) & (free <= min(lo + STRIPE, len(codes)))].tolist():
+                out.append(chunk[held:cut])
+                held = cut
+        if held < len(chunk):
+            out.append(chunk[held:])
+        return out
+
     def _long(self, chunk: str) -> tuple:
         """The lattice of one chunk of any length; sums are scaled up before they vanish."""
-        n, width = len(chunk), self.longest
-        s = chunk if chunk == SPACE else chunk.replace(" ", SPACE)
-        weight, ids, total = np.zeros((n + 1, width)), np.zeros((n + 1, width), np.int32), np.zeros(n + 1)
-        sums = [0.0] * (n + 1)
-        sums[0] = 1.0
-        for i in range(n):
-            f = sums[i]
-            if f < 1e-150:  # only the nodes in reach matter, and only their proportions
-                for k in range(i, min(n, i + width) + 1):
-                    sums[k] *= 1e150
-                    weight[k] *= 1e150
-                f = sums[i]
-            total[i] = f
-            for j in range(i + 1, min(n, i + width) + 1):
-                v = None if chunk == SPACE else self.table.get(s[i:j])
-                if j == i + 1 and (v is None or v < 0):
-                    weight[j, 0], ids[j, 0] = f * self.rare, -1
-                    sums[j] += f * self.rare
-                if v is None:
-                    break
-                if v >= 0:
-                    weight[j, j - i - 1], ids[j, j - i - 1] = f * self.weight[v], v
-                    sums[j] += f * self.weight[v]
-        return self._edges(weight.sum(axis=1), weight, ids, np.array([ord(c) for c in s] + [0], np.int64))
+        codes, width = _codes(chunk), self.longest
+        if chunk == SPACE:
+            codes = np.array([0x10FFFF], np.int64)  # the mark itself is spelled in bytes
+        recent = np.zeros(width)  # sums of the last nodes, the last first
+        recent[0] = 1.0
+        done = [(np.zeros(1, np.int64), *(np.zeros(0) for _ in range(4)), {})]
+        n_edges = 0
+        for lo in range(0, len(codes), STRIPE):
+            hi, begin = min(len(codes), lo + STRIPE), max(0, lo - width)
+            weight, ids = self._matches(codes[begin:hi])
+            weight, ids = weight[lo - begin + 1 :], ids[lo - begin + 1 :]
+            for row in weight:
+                row *= recent
+                total = row.sum()
+                row /= total
+                recent[1:] = recent[:-1]
+                recent[0] = total
+                if total < 1e-100:  # only the nodes in reach matter, and only their proportions
+                    recent *= 1e100
+            seen = np.array([ord(SPACE)], np.int64) if chunk == SPACE else codes[lo:hi]
+            counts, upto, length, first, sizes, extra = self._edges(np.ones(len(weight)), weight, ids, np.r_[seen, 0], 0)
+            done.append((counts, upto, length, first, sizes, {n_edges + e: own for e, own in extra.items()}))
+            n_edges += len(upto)
+        return (*(np.concatenate([d[k] for d in done]) for k in range(5)), {e: own for d in done for e, own in d[5].items()})
 
     def sample(self, keys: list[int], texts: list[str | None], seed: int = SEED) -> list[np.ndarray]:
         """The sampled ids of each text."""
@@ -230,6 +283,9 @@ class Pieces:
 
     def _sample(self, keys: list[int], texts: list[str | None], seed: int) -> list[np.ndarray]:
         split = [self.chunks(f" {t}") if t else [] for t in texts]
+        for cs in split:
+            if cs and len(max(cs, key=len)) > VECTOR_CHARS:
+                cs[:] = chain.from_iterable(map(self.parts, cs))
         ends = self.ends
         full, n_edges, n_nodes = len(ends) >= CHUNKS_KEPT, len(self.upto), len(self.edges_from) - 1
         new = list(set().union(*split).difference(ends))
@@ -285,6 +341,11 @@ class Pieces:
         return data[1:].decode("utf-8", "surrogatepass")
 
 
+def _codes(chunk: str) -> np.ndarray:
+    """Code points of a chunk, with space marks for spaces."""
+    return np.frombuffer(chunk.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 _PIECES: dict[tuple[str, float], Pieces] = {}
 
 
