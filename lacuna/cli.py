@@ -15,7 +15,7 @@ from .operators.preview import ELEMENT_ROWS, SYNTENY_ROWS, element_preview, synt
 from .plans.compare import compare
 from .sources import detect_format, file_exists, numbered_lines, rejects
 from .sources.annotations import PARSERS, synteny
-from .sources.report import counts_text, one_decimal, write_report
+from .sources.report import counts_text, summary_lines, write_report
 
 log = logging.getLogger("lacuna")
 USAGE = __doc__.strip() + """
@@ -83,6 +83,7 @@ def _show(title: str, what: str, count: int, rows: int, head: DataFrame, names:
 
 def run(spark: SparkSession, args: Arguments) -> int:
     """The whole comparison; the exit code."""
+    # The messages of this command, here, in _show and in _warn_rejects.
     for what, path in (("Synteny file", args.synteny), ("TE file 1", args.te1), ("TE file 2", args.te2)):
         if not file_exists(spark, path):
             log.error("Error: %s not found: %s", what, path)
@@ -115,10 +116,7 @@ def run(spark: SparkSession, args: Arguments) -> int:
         for title, df, n in (("Genome 1 TEs", elements[0], s["te1"]), ("Genome 2 TEs", elements[1], s["te2"])):
             _show(title, "transposons", n, ELEMENT_ROWS, element_preview(df), "ID\tChr\tStart\tEnd\tStrand\tType\tFamily")
     print("Comparing TE differences between two genomes...")
-    print(f"Genome 1: {s['te1']} transposons\nGenome 2: {s['te2']} transposons\nSynteny blocks: {s['synteny']}")
-    print("\n=== TE Difference Analysis Results ===")
-    for g in (1, 2):
-        print(f"Genome {g} unique transposons: {s[f'unique{g}']} ({one_decimal(s[f'pct{g}'])}% of total)")
+    print("\n".join(summary_lines(s)))
     for title, what, key, frames in (("Transposon Type Analysis", "types", "type", (c.types1, c.types2)), ("Transposon Family Analysis", "families", "family", (c.families1, c.families2))):
         print(counts_text(title, [(g, what, [(r[key], r["n"]) for r in f.collect()]) for g, f in enumerate(frames, 1)]))
     if args.verbose:

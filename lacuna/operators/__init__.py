@@ -1,7 +1,7 @@
 """Operators on relations: interval joins, counts, previews."""
 
 from .counts import count_by, relation_counts, summary
-from .overlap import in_synteny, side, unique
+from .overlap import in_synteny, marked, side, unique
 from .preview import preview
 
-__all__ = ["count_by", "in_synteny", "preview", "relation_counts", "side", "summary", "unique"]
+__all__ = ["count_by", "in_synteny", "marked", "preview", "relation_counts", "side", "summary", "unique"]

@@ -31,13 +31,19 @@ def relation_counts(**relations: DataFrame) -> DataFrame:
     return out
 
 
-def summary(te1: DataFrame, te2: DataFrame, synteny: DataFrame, unique1: DataFrame, unique2: DataFrame) -> DataFrame:
-    """One row: the sizes of the inputs, the unique elements, their percentages and total."""
-    names = ("te1", "te2", "synteny", "unique1", "unique2")
-    counts = relation_counts(**dict(zip(names, (te1, te2, synteny, unique1, unique2))))
-    one = counts.agg(*[F.coalesce(F.max(F.when(F.col("relation") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+def summary(te1: DataFrame, te2: DataFrame, synteny: DataFrame) -> DataFrame:
+    """One row: the sizes of the inputs, the unique elements, their percentages and total.
+
+    The elements come marked (``hit``: whether they overlap a block), so each genome is read once."""
+    parts = [te.agg(F.count(F.lit(1)).alias(f"te{g}"), F.count(F.when(~F.col("hit"), 1)).alias(f"unique{g}")) for g, te in ((1, te1), (2, te2))]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(synteny.agg(F.count(F.lit(1)).alias("synteny")), allowMissingColumns=True)
+    one = rows.agg(*[F.max(c).alias(c) for c in ("te1", "te2", "synteny", "unique1", "unique2")])
     return one.select(
-        *names,
+        "te1",
+        "te2",
+        "synteny",
+        "unique1",
+        "unique2",
         percentage(F.col("unique1"), F.col("te1")).alias("pct1"),
         percentage(F.col("unique2"), F.col("te2")).alias("pct2"),
         (F.col("unique1") + F.col("unique2")).alias("total_unique"),

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import count_by, side, summary, unique
+from ..operators import count_by, marked, side, summary, unique
 from ..schemas import SYNTENY
 
 
@@ -29,4 +29,4 @@ def compare(te1: DataFrame, te2: DataFrame, synteny: DataFrame | None = None, st
         synteny = te1.sparkSession.createDataFrame([], SYNTENY)
     u1, u2 = unique(te1, side(synteny, 1), strategy), unique(te2, side(synteny, 2), strategy)
     counted = [count_by(u, key, "line_no").orderBy("first_seen") for key in ("type", "family") for u in (u1, u2)]
-    return Comparison(u1, u2, summary(te1, te2, synteny, u1, u2), *counted)
+    return Comparison(u1, u2, summary(marked(te1, side(synteny, 1)), marked(te2, side(synteny, 2)), synteny), *counted)

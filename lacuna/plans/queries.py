@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cli import Arguments, UsageError, parse_arguments
 from ..functions import c_float, c_int, cut_line, generated_id, gff_attribute, is_element_type, is_skipped, is_track, overlaps, tokens
-from ..operators import count_by, in_synteny, relation_counts, side, summary, unique
+from ..functions.text import ELEMENT_TYPES
+from ..operators import count_by, in_synteny, marked, relation_counts, side, summary, unique
 from ..operators.preview import ELEMENT_ROWS, SYNTENY_ROWS, element_preview, synteny_preview
 from ..schemas import SYNTENY
 from ..sources.annotations import LEAST, bed, gff3, rejects, synteny
-from ..sources.detect import BED_TABS, GFF3_TABS, SNIFFED_LINES, sniff
-from ..sources.report import report_rows
+from ..sources.detect import BED_TABS, GFF3_TABS, SNIFFED_LINES, ending_form, sniff
+from ..sources.report import numbered, report_rows, summary_lines
 from . import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +54,7 @@ def _first_seen(key: str) -> Query:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    return summary(_te(spark, d, 1), _te(spark, d, 2), lens.view(spark, d, "syn"), _unique(spark, d, 1), _unique(spark, d, 2))
+    return summary(*(marked(_te(spark, d, g), _blocks(spark, d, g)) for g in (1, 2)), lens.view(spark, d, "syn"))
 
 
 def _relation_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +101,51 @@ def _attributes(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("line_no", gff_attribute(a, "ID").alias("own_id"), gff_attribute(a, "Name").alias("own_name"), gff_attribute(a, "family", "TE_family").alias("family"))
 
 
+#: File names with all endings, by key.
+_NAME = "'f.x' || CAST(p_partkey AS STRING) || CASE p_partkey % 8 WHEN 0 THEN '.GFF3' WHEN 1 THEN '.gff' WHEN 2 THEN '.Bed' WHEN 3 THEN '.txt' WHEN 4 THEN '' WHEN 5 THEN '.gff3.bak' WHEN 6 THEN '.bed ' ELSE '.gFf' END"
+
+
+def _endings(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d.rstrip('/')}/part.parquet").selectExpr("p_partkey AS k", f"{_NAME} AS name")
+    return names.select("k", ending_form(F.col("name")).alias("form"))
+
+
+#: Command lines, and what they mean: synteny, te1, te2, genome1, genome2, prefix, verbose, help, error.
+_COMMANDS = [
+    ("s a b", ("s", "a", "b", None, None, "te_comparison", False, False, None)),
+    ("s a b -v", ("s", "a", "b", None, None, "te_comparison", True, False, None)),
+    ("s a b g1", ("s", "a", "b", "g1", None, "te_comparison", False, False, None)),
+    ("s a b g1 g2 -o p --verbose", ("s", "a", "b", "g1", "g2", "p", True, False, None)),
+    ("s a b --output p -o q", ("s", "a", "b", None, None, "q", False, False, None)),
+    ("-v a b", ("-v", "a", "b", None, None, "te_comparison", False, False, None)),
+    ("s a", (None, None, None, None, None, None, None, None, "")),
+    ("", (None, None, None, None, None, None, None, None, "")),
+    ("s a b -x", (None, None, None, None, None, None, None, None, "Error: Unknown option -x")),
+    ("s a b -o", (None, None, None, None, None, None, None, None, "Error: Unknown option -o")),
+    ("s a b g1 g2 g3", (None, None, None, None, None, None, None, None, "Error: Unknown option g3")),
+    ("s a b -v g1", (None, None, None, None, None, None, None, None, "Error: Unknown option g1")),
+    ("s a b -x --help", ("", "", "", None, None, "te_comparison", False, True, None)),
+    ("-h", ("", "", "", None, None, "te_comparison", False, True, None)),
+]
+_ARGUMENTS = "synteny string, te1 string, te2 string, genome1 string, genome2 string, prefix string, is_verbose boolean, is_help boolean, message string"
+
+
+def _commands(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for line, _ in _COMMANDS:
+        try:
+            a: Arguments = parse_arguments(line.split())
+            rows.append((line, a.synteny, a.te1, a.te2, a.genome1, a.genome2, a.prefix, a.verbose, a.help, None))
+        except UsageError as e:
+            rows.append((line, *[None] * 8, str(e)))
+    return spark.createDataFrame(rows, f"line string, {_ARGUMENTS}")
+
+
+def _console(spark: SparkSession, d: str) -> DataFrame:
+    lines = summary_lines(_summary(spark, d).first())
+    return spark.createDataFrame(list(enumerate(lines, 1)), "n int, line string")
+
+
 def queries() -> dict[str, Query]:
     return {
         "unique_all": unique_all,
@@ -130,7 +177,7 @@ def queries() -> dict[str, Query]:
         "bed_arity_defaults": lambda s, d: bed(lens.bed_lines(s, d)).select("line_no", "strand", "type", "name"),
         "bed_generated_ids": lambda s, d: bed(lens.bed_lines(s, d)).select("line_no", "id"),
         "line_filter": lambda s, d: lens.bed_lines(s, d).filter(~is_skipped(F.col("value")) & ~is_track(F.col("value"))).select("line_no"),
-        "arity_rejects": lambda s, d: rejects(lens.gff3_lines(s, d), "gff3").withColumn("form", F.lit("gff3")).unionByName(rejects(lens.synteny_lines(s, d), "synteny").withColumn("form", F.lit("synteny"))),
+        "arity_rejects": lambda s, d: rejects(lens.gff3_lines(s, d), "gff3").withColumn("form", F.lit("gff3")).unionByName(rejects(lens.synteny_lines(s, d), "synteny").withColumn("form", F.lit("synteny"))).unionByName(rejects(lens.bed_lines(s, d), "bed").withColumn("form", F.lit("bed"))),
         "tokenise_collapse": _tokenise,
         "c_int_coercion": lambda s, d: _orders(s, d).select("k", c_int(F.col("t")).alias("v")),
         "c_float_coercion": lambda s, d: _orders(s, d).select("k", c_float(F.col("t")).alias("v")),
@@ -138,15 +185,23 @@ def queries() -> dict[str, Query]:
         "generated_id": lambda s, d: lens.view(s, d, "te2").select("line_no", generated_id(F.col("line_no"), F.col("te_start"), F.col("te_end")).alias("id")),
         "format_sniff": _sniffed,
         "report_rows": lambda s, d: report_rows(unique(gff3(lens.gff3_lines(s, d)), _blocks(s, d, 1)), "line_no"),
+        "report_order": lambda s, d: numbered(report_rows(unique(gff3(lens.gff3_lines(s, d)), _blocks(s, d, 1)), "line_no"), width=1 << 12),
+        "format_by_ending": _endings,
+        "argument_cases": _commands,
+        "console_summary": _console,
         "te_preview": lambda s, d: element_preview(gff3(lens.gff3_lines(s, d))),
         "synteny_preview": lambda s, d: synteny_preview(_syn_parsed(s, d)),
     }
 
 
+def _values(row: tuple) -> str:
+    return ", ".join("NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'" for x in row)
+
+
 def oracle_sql() -> dict[str, str]:
     ctes = lens.ctes()
     rows = lens.NOT_ROWS
-    tests = " OR ".join(f"contains(type, '{x}')" for x in ("transposable_element", "TE", "retrotransposon", "DNA_transposon", "LINE", "SINE", "LTR", "TIR", "MITE", "helitron"))
+    tests = " OR ".join(f"contains(type, '{x}')" for x in ELEMENT_TYPES)
     te = ", ".join(_TE)
     with_ = lambda body, more="": f"WITH {ctes}{more} {body}"
     hit = lambda g, rel="t": f"EXISTS (SELECT 1 FROM syn b WHERE b.chr{g} = {rel}.chr AND b.start{g} <= {rel}.te_end AND b.end{g} >= {rel}.te_start)"
@@ -185,6 +240,13 @@ def oracle_sql() -> dict[str, str]:
     doubled = f"CASE WHEN {whole} THEN 2 ELSE 1 END"
     bed_tabs = f"CASE WHEN key % 19 = 0 THEN 2 WHEN key % {lens.SHORT} = 0 THEN {doubled} ELSE least({n}, 6) * {doubled} + {doubled} - 1 + CASE WHEN key % {lens.RETURN} = 0 THEN 2 ELSE 0 END END"
     counts = "(SELECT count(*) FROM te1) AS te1, (SELECT count(*) FROM te2) AS te2, (SELECT count(*) FROM syn) AS synteny"
+    summed = with_(
+        "SELECT *, CASE WHEN te1 > 0 THEN CAST(100 AS DOUBLE) * unique1 / te1 ELSE CAST(0 AS DOUBLE) END AS pct1, CASE WHEN te2 > 0 THEN CAST(100 AS DOUBLE) * unique2 / te2 ELSE CAST(0 AS DOUBLE) END AS pct2, unique1 + unique2 AS total_unique "
+        f"FROM (SELECT {counts}, (SELECT count(*) FROM ({uni(1)})) AS unique1, (SELECT count(*) FROM ({uni(2)})) AS unique2)"
+    )
+    share = lambda g: f"'Genome {g} unique transposons: ' || unique{g} || ' (' || printf('%.1f', pct{g}) || '% of total)'"
+    console = ["'Genome 1: ' || te1 || ' transposons'", "'Genome 2: ' || te2 || ' transposons'", "'Synteny blocks: ' || synteny", "''", "'=== TE Difference Analysis Results ==='", share(1), share(2)]
+    reported = "id || chr(9) || chr || chr(9) || te_start || chr(9) || te_end || chr(9) || strand || chr(9) || type || chr(9) || coalesce(family, 'N/A') || chr(9) || name"
     return {
         "unique_all": with_(both),
         "unique_genome1": with_(uni(1)),
@@ -202,10 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "family_counts": count("family"),
         "type_counts_first_seen": seen("type"),
         "family_counts_first_seen": seen("family"),
-        "unique_summary": with_(
-            "SELECT *, CASE WHEN te1 > 0 THEN CAST(100 AS DOUBLE) * unique1 / te1 ELSE CAST(0 AS DOUBLE) END AS pct1, CASE WHEN te2 > 0 THEN CAST(100 AS DOUBLE) * unique2 / te2 ELSE CAST(0 AS DOUBLE) END AS pct2, unique1 + unique2 AS total_unique "
-            f"FROM (SELECT {counts}, (SELECT count(*) FROM ({uni(1)})) AS unique1, (SELECT count(*) FROM ({uni(2)})) AS unique2)"
-        ),
+        "unique_summary": summed,
         "relation_counts": with_("SELECT 'te1' AS relation, count(*) AS n FROM te1 UNION ALL SELECT 'te2', count(*) FROM te2 UNION ALL SELECT 'synteny', count(*) FROM syn"),
         "synteny_parse": syn_sql("line_no, chr1, start1, end1, chr2, start2, end2, score"),
         "synteny_normalised": syn_sql("line_no, start1, end1, start2, end2"),
@@ -220,7 +279,8 @@ def oracle_sql() -> dict[str, str]:
         "line_filter": with_(f"SELECT line_no FROM gff WHERE key % {lens.COMMENT} <> 0 AND key % 19 <> 0"),
         "arity_rejects": with_(
             f"SELECT line_no, 8 AS n_tokens, 'gff3' AS form FROM gff WHERE key % {lens.COMMENT} <> 0 AND key % {lens.SHORT} = 0 UNION ALL "
-            f"SELECT line_no, 5 AS n_tokens, 'synteny' AS form FROM syn WHERE line_no % {lens.COMMENT} <> 0 AND line_no % {lens.SHORT} = 0"
+            f"SELECT line_no, 5 AS n_tokens, 'synteny' AS form FROM syn WHERE line_no % {lens.COMMENT} <> 0 AND line_no % {lens.SHORT} = 0 UNION ALL "
+            f"SELECT line_no, 2 AS n_tokens, 'bed' AS form FROM gff WHERE key % 19 <> 0 AND key % {lens.COMMENT} <> 0 AND key % {lens.SHORT} = 0"
         ),
         "tokenise_collapse": with_(tokenised),
         "c_int_coercion": number("[+-]?[0-9]+", "INT", "0"),
@@ -231,7 +291,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT 'gff3' AS kind, line_no, CASE WHEN key % {lens.SHORT} = 0 AND NOT {whole} THEN 'bed' ELSE 'gff3' END AS form FROM gff WHERE line_no <= {SNIFFED_LINES} AND key % {lens.COMMENT} <> 0 UNION ALL "
             f"SELECT 'bed', line_no, CASE WHEN {bed_tabs} >= {GFF3_TABS} THEN 'gff3' WHEN {bed_tabs} >= {BED_TABS} THEN 'bed' END FROM gff WHERE line_no <= {SNIFFED_LINES} AND (key % {lens.COMMENT} <> 0 OR key % 19 = 0)"
         ),
-        "report_rows": with_(f"SELECT line_no, id || chr(9) || chr || chr(9) || te_start || chr(9) || te_end || chr(9) || strand || chr(9) || type || chr(9) || coalesce(family, 'N/A') || chr(9) || name AS row FROM g t WHERE NOT {hit(1)}", gff),
+        "report_order": with_(f"SELECT row_number() OVER (ORDER BY line_no) AS n, line_no, {reported} AS row FROM g t WHERE NOT {hit(1)}", gff),
+        "format_by_ending": f"SELECT k, CASE lower(regexp_extract(name, '[.][^.]*$')) WHEN '.gff3' THEN 'gff3' WHEN '.gff' THEN 'gff3' WHEN '.bed' THEN 'bed' END AS form FROM (SELECT p_partkey AS k, {_NAME} AS name FROM part)",
+        "argument_cases": f"SELECT * FROM (VALUES {', '.join(f'({_values((line, *told))})' for line, told in _COMMANDS)}) AS v(line, {', '.join(c.split()[0] for c in _ARGUMENTS.split(', '))})",
+        "console_summary": f"WITH s AS ({summed}) " + " UNION ALL ".join(f"SELECT {k} AS n, {text} AS line FROM s" for k, text in enumerate(console, 1)),
+        "report_rows": with_(f"SELECT line_no, {reported} AS row FROM g t WHERE NOT {hit(1)}", gff),
         "te_preview": with_(f"SELECT id, chr, te_start, te_end, strand, type, coalesce(family, 'N/A') AS family FROM g ORDER BY line_no LIMIT {ELEMENT_ROWS}", gff),
         "synteny_preview": with_(f"SELECT chr1, start1, end1, chr2, start2, end2, score FROM syn WHERE NOT {syn_rows} ORDER BY line_no LIMIT {SYNTENY_ROWS}"),
     }

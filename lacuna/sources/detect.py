@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SNIFFED_LINES = 10
+# How many pieces of a file are looked at, and how many bytes a piece has at most.
+SNIFFED_LINES, PIECE_BYTES = 10, 1023
 # File name endings, in lower case.
 ENDINGS = {".gff3": "gff3", ".gff": "gff3", ".bed": "bed"}
 #: Tabs from which a line counts as GFF3, or as BED.
@@ -27,6 +28,23 @@ def sniff(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("line_no") <= SNIFFED_LINES).filter(~F.col("value").startswith("#")).select("line_no", form.alias("form"))
 
 
+def ending_form(name: Column) -> Column:
+    """What a file name's ending says, in any case of letters; null if nothing."""
+    ending = F.lower(F.regexp_extract(name, r"\.[^.]*$", 0))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair]), ending)
+
+
+def pieces(lines: list[str]) -> list[bytes]:
+    """The first pieces of a file: lines, long ones cut."""
+    out: list[bytes] = []
+    for line in lines:
+        data = line.encode() + b"\n"
+        out += [data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
+        if len(out) >= SNIFFED_LINES:
+            break
+    return out[:SNIFFED_LINES]
+
+
 def detect_format(spark: SparkSession, path: str) -> str | None:
     """"gff3", "bed" or None.  A name without a dot is not looked into; nor is an empty file."""
     if not file_exists(spark, path):
@@ -37,11 +55,11 @@ def detect_format(spark: SparkSession, path: str) -> str | None:
     ending = path[path.rindex(".") :].lower()
     if ending in ENDINGS:
         return ENDINGS[ending]
-    for line in head:
-        if line.startswith("#"):
+    for piece in pieces(head):
+        if piece.startswith(b"#"):
             continue
-        if line.count("\t") >= GFF3_TABS:
+        if piece.count(b"\t") >= GFF3_TABS:
             return "gff3"
-        if line.count("\t") >= BED_TABS:
+        if piece.count(b"\t") >= BED_TABS:
             return "bed"
     return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("id", "chr", "te_start", "te_end", "strand", "type", "family", "name")
@@ -21,6 +21,31 @@ def report_rows(elements: DataFrame, *order: str) -> DataFrame:
     return elements.select(*order, F.concat_ws("\t", *shown).alias("row"))
 
 
+def numbered(rows: DataFrame, order: str = "line_no", width: int = 1 << 16) -> DataFrame:
+    """``rows`` with their place n, from 1, in ascending ``order`` (a whole number, no two alike).
+
+    Places run within stretches of ``width`` numbers, and over the stretches' counts."""
+    held = rows.withColumn("stretch", F.floor(F.col(order) / width))
+    inner = F.row_number().over(Window.partitionBy("stretch").orderBy(order))
+    before = F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    bases = held.groupBy("stretch").agg(F.count(F.lit(1)).alias("held")).select("stretch", F.coalesce(before, F.lit(0)).alias("base"))
+    return held.withColumn("inner", inner).join(bases, "stretch").withColumn("n", F.col("base") + F.col("inner")).select("n", *rows.columns)
+
+
+def summary_lines(s) -> list[str]:
+    """The console's lines on a summary row."""
+    # Console text.
+    return [
+        f"Genome 1: {s['te1']} transposons",
+        f"Genome 2: {s['te2']} transposons",
+        f"Synteny blocks: {s['synteny']}",
+        "",
+        "=== TE Difference Analysis Results ===",
+        f"Genome 1 unique transposons: {s['unique1']} ({one_decimal(s['pct1'])}% of total)",
+        f"Genome 2 unique transposons: {s['unique2']} ({one_decimal(s['pct2'])}% of total)",
+    ]
+
+
 def write_report(elements: DataFrame, prefix: str, genome: int) -> str:
     """Write one local file, rows in input order, partition by partition; its path.
 

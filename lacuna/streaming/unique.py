@@ -1,7 +1,7 @@
 """Unique elements of a stream.
 
 An element's result depends on the static blocks alone, so the stream needs no state and no
-watermark: every micro-batch is a stream-static anti-join.
+watermark: every micro-batch is a stream-static anti-join, by the bin of an element's end.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import overlaps
+from ..operators.overlap import stepped
 from ..schemas import ELEMENT
 
 
@@ -20,5 +21,9 @@ def stream_elements(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_unique(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     """The elements of a stream that overlap no block of ``blocks`` (chr, b_start, b_end)."""
-    b = blocks.select(F.col("chr").alias("b_chr"), "b_start", "b_end")
-    return elements.join(b, (F.col("chr") == F.col("b_chr")) & overlaps(F.col("te_start"), F.col("te_end"), F.col("b_start"), F.col("b_end")), "left_anti")
+    spans, steps = stepped(blocks)
+    own = elements.columns
+    placed = elements.join(spans, F.col("chr") == F.col("s_chr"), "left")
+    at = F.least(F.floor((F.col("te_end").cast("long") - F.col("lo")) / F.col("width")), F.col("last") + 1)
+    meets = (F.col("chr") == F.col("b_chr")) & (F.col("e_bin") == F.col("b_bin")) & overlaps(F.col("te_start"), F.col("te_end"), F.col("b_start"), F.col("b_end"))
+    return placed.withColumn("e_bin", at).join(steps, meets, "left_anti").select(*own)

@@ -56,6 +56,13 @@ def test_detection(spark, tmp_path, name, text, form):
     assert detect_format(spark, str(tmp_path / name)) == form
 
 
+def test_detection_by_pieces(spark, tmp_path):
+    """Lines over 1,023 bytes count as several of the ten pieces, each with its own tabs."""
+    for text, form in [("x" * 1023 + "\t" * 9, "gff3"), ("\t" + "x" * 1022 + "\ta", None), ("x" * 1023 * 10 + "\t\t\t", None), ("x" * 1023 * 9 + "\t\t\t", "bed"), ("x" * 1023 + "#\t\t\t", None)]:
+        (tmp_path / "x.txt").write_text(text)
+        assert detect_format(spark, str(tmp_path / "x.txt")) == form
+
+
 def test_detection_without_dot(spark, tmp_path, monkeypatch):
     assert detect_format(spark, str(tmp_path / "none.bed")) is None
     monkeypatch.chdir(tmp_path)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lacuna.operators import in_synteny, side, unique
+from lacuna.operators import in_synteny, marked, side, unique
 from lacuna.operators.overlap import PLANS
 from lacuna.streaming import stream_unique
 
@@ -37,6 +37,7 @@ def test_cases(spark, plan, case):
     e, b = spark.createDataFrame(elements, TE), spark.createDataFrame(blocks, BLOCK)
     assert sorted(r.k for r in unique(e, b, plan).collect()) == brute(elements, blocks)
     assert sorted(r.k for r in in_synteny(e, b, plan).collect()) == sorted(x[0] for x in elements if x[0] not in brute(elements, blocks))
+    assert sorted(r.k for r in marked(e, b).filter("not hit").collect()) == brute(elements, blocks)
 
 
 @pytest.mark.parametrize("plan", PLANS)
@@ -60,11 +61,42 @@ def test_auto_checks_the_size(spark, monkeypatch):
     assert unique(e, b).count() == 1 and used
 
 
+def test_broadcast_is_refused_for_many(spark, monkeypatch):
+    """Asked for or not, more blocks than may be broadcast are swept."""
+    from lacuna.operators import overlap
+
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 10)
+    e, b = spark.createDataFrame([(1, "a", 1, 2)], TE), spark.createDataFrame([("a", i * 10 + 5, i * 10 + 6) for i in range(50)], BLOCK)
+    assert "LeftAnti" not in unique(e, b, "broadcast")._jdf.queryExecution().executedPlan().toString()
+    assert unique(e, b, "broadcast").count() == 1
+
+
+def test_sweep_shuffles_elements_once(spark):
+    e, b = spark.createDataFrame([(k, "a", k, k + 2) for k in range(99)], TE), spark.createDataFrame([("a", i * 10 + 5, i * 10 + 6) for i in range(5000)], BLOCK)
+    plan = unique(e, b, "sweep")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and plan.count("Cartesian") == 0
+
+
 def test_sides(spark):
     s = spark.createDataFrame([("a", 1, 2, "b", 3, 4)], "chr1 string, start1 int, end1 int, chr2 string, start2 int, end2 int")
     assert tuple(side(s, 1).first()) == ("a", 1, 2) and tuple(side(s, 2).first()) == ("b", 3, 4) and side(s, 3).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stream_random(spark, tmp_path, monkeypatch, seed):
+    from lacuna.operators import overlap
+
+    monkeypatch.setattr(overlap, "BLOCKS_PER_BIN", 3)
+    r = random.Random(seed)
+    elements = [(k, r.choice("abc"), s := r.randrange(-50, 500), s + r.randrange(-3, 60)) for k in range(300)]
+    blocks = [(r.choice("ab"), s := r.randrange(400), s + r.randrange(9)) for _ in range(40)] + [("a", 50, 50)] * 3
+    spark.createDataFrame(elements, TE).write.parquet(str(tmp_path / "in"))
+    q = stream_unique(spark.readStream.schema(TE).parquet(str(tmp_path / "in")), spark.createDataFrame(blocks, BLOCK)).writeStream.format("memory").queryName(f"found{seed}").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(x.k for x in spark.table(f"found{seed}").collect()) == brute(elements, blocks)
+
+
 def test_stream(spark, tmp_path):
     elements = [(k, "a", k * 10, k * 10 + 4) for k in range(20)]
     blocks = spark.createDataFrame([("a", 52, 93)], BLOCK)
