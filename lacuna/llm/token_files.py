@@ -45,7 +45,7 @@ PERCENTILE = 90
 END_ID = 2
 NO_ID = -(2**63)
 #: Distinct words whose ids a worker remembers.
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 650_000
 #: Texts on which a tokenizer is tried out.
 PROBES = 300
 #: Characters encoded together, and rows handed to a worker together.
