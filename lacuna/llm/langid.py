@@ -7,13 +7,14 @@ language with the most letters in its spans is the text's language, and its shar
 letters is the score.
 
 Learning takes at most ``SAMPLE`` documents per language (chosen by a hash of doc_id, the same in
-every run; whole texts) and keeps the ``FEATURES`` most frequent n-grams; only this model goes to
-the driver and out to the workers.
+every run; whole texts) and keeps every n-gram seen there ``LEAST_SEEN`` times or more; only this
+model, which the sample bounds, goes to the driver and out to the workers.
 
 Defined cases: a null text, an empty one, and one without letters is ``und`` with score 0; letters
 of scripts that no language was learned with are left out, and a text of nothing else gets the
 most frequent learned language with score 0; without any labelled row everything is ``und``;
-repeated rows repeat their result.
+with one learned language its scripts decide; ties go to the language first in order; texts of any
+length are labelled whole; repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .common import release, settle
 
 UNKNOWN = "und"
 SAMPLE = 1000
-FEATURES = 60_000
+#: Times that an n-gram must be seen in the sample.
+LEAST_SEEN = 2
 NGRAM = 3
 SWITCH = 12.0
 #: A script belongs to a language if it has at least this share of the language's letters.
@@ -96,7 +98,7 @@ class Model:
         return self.__dict__ | {"known": {}, "rows": []}
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST_SEEN) -> Model:
     """Learn from the labelled documents (doc_id, text, lang) that are not held out."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -126,7 +128,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Mo
     # A gram has a row per language at most.
     per = settle(sums.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "grams")
     script = per.filter(F.col("gram").startswith("\0")).collect()
-    top = per.filter(~F.col("gram").startswith("\0")).orderBy(F.col("all").desc(), "gram").limit(features).collect()
+    top = sorted(per.filter(~F.col("gram").startswith("\0") & (F.col("all") >= least)).collect(), key=lambda r: r["gram"])
     release(per)
     of = {l: i for i, l in enumerate(langs)}
     counts = np.zeros((len(top) + 1, len(langs)))
@@ -191,6 +193,8 @@ def _learn_words(model: Model, new: list[str], at_once: int = 20_000) -> None:
             ends.append(len(flat))
         starts = np.r_[0, ends[:-1]].astype(np.int64)
         out = np.add.reduceat(model.weights[np.array(flat, np.int32)], starts, axis=0)
+        if len(model.langs) == 1:  # nothing to weigh against: the script alone decides
+            out[:] = 1.0
         for k, w in enumerate(part):
             s = script_of(w)
             if s not in allowed:

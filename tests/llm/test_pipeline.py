@@ -91,6 +91,39 @@ def test_clashing_columns(spark):
     assert set(out.columns) == set(docs.columns) and out.filter("n <> text").count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """Texts that share a doc_id, or have none, are documents of their own; one of each group stays."""
+    import random
+
+    r = random.Random(6)
+    texts = [prose(r, EN, 90) for _ in range(12)]
+    rows = [(7, t, "en", "s0", len(t)) for t in texts[:4]] + [(None, t, "en", "s1", len(t)) for t in texts[4:8]] + [(k, t, "en", "s2", len(t)) for k, t in enumerate(texts[8:])]
+    rows += [(None, texts[0], "en", "s0", 1), (7, texts[5], "en", None, 2), (90, edited(r, texts[9], 1), "en", "s2", 3)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    stage = dict(corpus_pipeline.STAGES)
+    single = stage["jaccard_join"](spark, docs, "")
+    kept = single.collect()
+    assert len(kept) == 12 and single.columns == docs.columns
+    assert len(stage["language_id"](spark, docs, "").collect()) == len(stage["quality_rules"](spark, docs, "").collect()) == len(rows)
+    mixed = stage["source_mix"](spark, single, "").collect()
+    assert {r.text for r in mixed} <= {r.text for r in kept}
+    assert stage["piece_sampling"](spark, single, "").count() == 12
+
+
+def test_very_long_texts(spark):
+    import random
+
+    r = random.Random(7)
+    long = prose(r, EN, 60_000)
+    rows = [(1, long, "en", "s0", 1), (2, edited(r, long, 5), "en", "s0", 1), (3, prose(r, EN, 40_000), "en", "s1", 1)] + [(k, prose(r, EN, 80), "en", "s1", 1) for k in range(4, 40)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), COLUMNS)
+    assert {x.doc_id for x in docs.collect()} >= {1, 3} and 2 not in {x.doc_id for x in docs.collect()}
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {x.doc_id for x in ids} == {x.doc_id for x in docs.collect()}
+
+
 def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame(corpus()[:40], COLUMNS).write.parquet(str(tmp_path / "a/documents.parquet"))
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "b/documents.parquet"))

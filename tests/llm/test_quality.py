@@ -52,3 +52,14 @@ def test_good_text_stays_and_plan_is_native(spark):
     assert "Python" not in plan and "Exchange" not in plan
     assert len({r.name for r in RULES}) == len(RULES)
     assert op3(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Equal rows give equal rows; a null doc_id and a very long text are rows like others."""
+    long = " ".join(f"the word{i % 9000}" for i in range(60_000))
+    rows = [(1, GOOD * 5)] * 4 + [(None, GOOD), (2, long), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, (tuple(r) for r in op3(docs).collect())))
+    assert len(got) == 7 and len(set(got)) == 4
+    for r in op3(docs.filter("doc_id = 2 AND text IS NOT NULL")).collect():
+        assert tuple(r)[1:6] == brute(long)
