@@ -111,6 +111,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on, and the next
+    stage's tasks, in this process and others, need the room."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there only with the GNU C library
+    if trim:
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application."""
     import os

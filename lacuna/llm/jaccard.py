@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_size, release, settle
+from .common import give_back, join_by_size, release, settle
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -169,6 +169,8 @@ def _sketch(runs: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         out["k1"], out["k2"], out["n"] = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         out["nodes"] = [r[3] for r in rows]
         yield out
+    shingle.known.clear()
+    give_back()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,6 +180,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lo in range(0, len(pdf), 1000):
             part = pdf.iloc[lo : lo + 1000]
             yield pd.DataFrame({"cls": part["cls"], "m": part["m"], "n": part["n"], "tokens": [shingle(t).tobytes() for t in part["text"]]})
+    shingle.known.clear()
+    give_back()
 
 
 def _more(first: int, runs: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

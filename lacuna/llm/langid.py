@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import give_back, release, settle
 
 UNKNOWN = "und"
 SAMPLE = 1000
@@ -40,7 +40,7 @@ SWITCH = 12.0
 #: A script belongs to a language if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.01
 #: Distinct words whose scores a worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 
 # Code-point ranges of scripts.
 SCRIPTS = {
@@ -251,7 +251,7 @@ def identify(model: Model, texts: list[str | None], penalty: float = SWITCH) ->
 
 SCHEMA = "lang string, score double, spans array<struct<lang:string,first_word:long,n_words:long,letters:long>>"
 #: Characters that are labelled together.
-CHARS_AT_ONCE = 6_000_000
+CHARS_AT_ONCE = 3_000_000
 
 
 def label(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
@@ -272,6 +272,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", into: str = "langua
             yield pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[dict(zip(("lang", "first_word", "n_words", "letters"), s)) for s in r[2]] for r in rows]})
 
         m.known, m.rows = {}, []  # the worker lives on and others need the room
+        give_back()
 
     return docs.withColumn(into, F.pandas_udf(run, SCHEMA)(F.col(text)))
 

@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused
+from .common import give_back, unused
 
 SPACE = "▁"
 POWER = 1.0
 SEED = 17
 #: Characters sampled together, and distinct chunks that a worker remembers.
-CHARS_AT_ONCE = 2_000_000
-CHUNKS_KEPT = 300_000
+CHARS_AT_ONCE = 1_000_000
+CHUNKS_KEPT = 200_000
 #: Longest chunk whose lattice is built together with others.
 VECTOR_CHARS = 40
 #: Nodes of a longer chunk that are filtered before their edges are put away.
@@ -387,6 +387,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 if decoded:
                     columns.append(pa.array(map(pieces.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        give_back()
 
     return source.mapInArrow(run, T.StructType(fields))
 
