@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space between words: space and the five ASCII controls from tab to carriage return.
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-#: A word is a longest run of other characters.
+#: A word is a longest run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 

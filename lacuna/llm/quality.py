@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, words
+from .common import let, words
 
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the languages at hand; text made of sentences has some.
@@ -59,15 +59,18 @@ MAX_REPEATED = 50
 
 
 def _count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many characters of a regular expression's class a text has."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def _repeated_words(ws: Column) -> Column:
     """Words inside three-word windows that occur twice or more: windows are sorted with their
-    places, neighbours that are alike mark both, and the marked places are measured in order."""
-    windows = F.sort_array(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 3, F.lit(0))), lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i")))
-    )
+    places, neighbours that are alike mark both, and the marked places are measured in order.
+    Most texts have none, which the windows' hashes tell at less cost: where no two hashes are
+    equal, no two windows are."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 3, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i"))))
 
     def marked(s: Column) -> Column:
         # Each window of a run of equals; (before, this) and (this, after) are compared by index.
@@ -78,7 +81,8 @@ def _repeated_words(ws: Column) -> Column:
         steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
         return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
 
-    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(windows, lambda s: let(marked(s), covered)))
+    none = (F.size(ws) < 4) | let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(none, F.lit(0)).otherwise(let(windows, lambda s: let(marked(s), covered)))
 
 
 def measures(text: Column) -> Column:
@@ -88,12 +92,12 @@ def measures(text: Column) -> Column:
     def of(ws: Column, lines: Column) -> Column:
         counts = {
             "n_words": F.size(ws),
-            "word_chars": F.length(F.translate(plain, BLANKS, "")),
+            "word_chars": F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w)),
             "n_symbols": _count_chars(plain, SYMBOLS),
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": _repeated_words(ws),
             "n_marks": _count_chars(plain, "!?"),
-            "n_upper": F.length(plain) - F.length(F.regexp_replace(plain, r"\p{Lu}+", "")),
+            "n_upper": _count_chars(plain, r"\p{Lu}"),
             "n_letter_words": F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))),
             "n_stop_words": F.size(F.filter(ws, lambda w: F.lower(w).isin(ALL_STOP_WORDS))),
             "n_lines": F.size(lines),
@@ -102,7 +106,7 @@ def measures(text: Column) -> Column:
         }
         return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])
 
-    lines = F.filter(F.split(plain, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(F.struct(words(text).alias("w"), lines.alias("l")), lambda x: of(x["w"], x["l"]))
 
 
