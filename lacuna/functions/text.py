@@ -44,6 +44,13 @@ def c_int(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(text, rf"^{_SPACE}([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
 
 
+def coordinate(text: Column) -> Column:
+    """The longest whole-number prefix; 0 if there is none or it has more than 18 digits, so that
+    differences of two fit 64 bits."""
+    whole = F.regexp_extract(text, rf"^{_SPACE}([+-]?0*[0-9]{{1,18}})(?![0-9])", 1)
+    return F.coalesce(whole.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def c_float(text: Column) -> Column:
     """The longest decimal prefix, with an exponent if it is whole; 0 if there is none."""
     return F.coalesce(F.regexp_extract(text, rf"^{_SPACE}([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))

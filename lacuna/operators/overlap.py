@@ -144,7 +144,7 @@ def stepped(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     tops = placed.groupBy("chr", "bin").agg(F.max("b_end").alias("top"), F.max("last").alias("last"))
     along = Window.partitionBy("chr").orderBy("bin")
     earlier = tops.select("chr", "bin", F.max("top").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("b_end"), F.coalesce(F.lead("bin").over(along), F.col("last") + 1).alias("upto"))
-    carried = earlier.select("chr", F.explode(F.sequence(F.col("bin") + 1, F.col("upto"))).alias("bin"), F.lit(-(2**31)).cast("int").alias("b_start"), "b_end")
+    carried = earlier.select("chr", F.explode(F.sequence(F.col("bin") + 1, F.col("upto"))).alias("bin"), F.lit(-(2**63)).cast("long").alias("b_start"), "b_end")
     steps = placed.select("chr", "bin", "b_start", "b_end").unionByName(carried)
     return spans, steps.withColumnsRenamed({"chr": "b_chr", "bin": "b_bin"})
 

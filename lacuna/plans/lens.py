@@ -4,6 +4,9 @@ and in standard SQL, give both engines the same relations.
 ``syn`` comes from orders, ``te1`` from lineitem (repeated rows stay), ``te2`` from events.  The
 ``*_lines`` views write rows of events or orders as text, with comments, blank fields, carriage
 returns and short rows mixed in.
+
+The SQL has 32-bit coordinates and raises an error beyond; here they have 64 bits, so that large keys
+have results too.  ``narrow`` gives results the SQL's type wherever the SQL's can hold them.
 """
 
 from __future__ import annotations
@@ -25,17 +28,17 @@ SYN_RAW = {
 SYN = {
     "line_no": "line_no",
     "chr1": "chr1",
-    "start1": "CAST(a1 AS INT)",
-    "end1": "CAST(b1 AS INT)",
+    "start1": "a1",
+    "end1": "b1",
     "chr2": "chr2",
-    "start2": "CAST(a2 AS INT)",
-    "end2": "CAST(b2 AS INT)",
+    "start2": "a2",
+    "end2": "b2",
     "score": "CASE WHEN cents IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(cents AS DOUBLE) / CAST(100 AS DOUBLE) END",
 }
 TE1 = {
     "chr": "'chr' || CAST(l_suppkey % 5 + 1 AS STRING)",
-    "te_start": "CAST(l_orderkey * 1000 + l_partkey % 1000 AS INT)",
-    "te_end": "CAST(l_orderkey * 1000 + l_partkey % 1000 + CAST(l_quantity AS INT) * 10 AS INT)",
+    "te_start": "l_orderkey * 1000 + l_partkey % 1000",
+    "te_end": "l_orderkey * 1000 + l_partkey % 1000 + CAST(l_quantity AS INT) * 10",
     "strand": "CASE WHEN l_returnflag = 'A' THEN '+' WHEN l_returnflag = 'N' THEN '-' ELSE '.' END",
     "type": "CASE l_linenumber WHEN 1 THEN 'LINE' WHEN 2 THEN 'SINE' WHEN 3 THEN 'LTR_retrotransposon' WHEN 4 THEN 'DNA_transposon' WHEN 5 THEN 'helitron' WHEN 6 THEN 'INTERGENIC' ELSE 'gene' END",
     "family": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 'fam' || CAST(l_partkey % 7 AS STRING) END",
@@ -43,8 +46,8 @@ TE1 = {
 TE2 = {
     "line_no": "event_id + 1",
     "chr": "'chr' || CAST(user_id % 5 + 1 AS STRING)",
-    "te_start": "CAST(event_id * 1500 + user_id % 1000 + 1 AS INT)",
-    "te_end": "CAST(event_id * 1500 + user_id % 1000 + event_id % 50 AS INT)",
+    "te_start": "event_id * 1500 + user_id % 1000 + 1",
+    "te_end": "event_id * 1500 + user_id % 1000 + event_id % 50",
     "strand": "CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END",
     "type": "event_type",
     "family": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'fam' || CAST(user_id % 4 AS STRING) END",
@@ -53,8 +56,8 @@ TE2 = {
 GFF = {
     "line_no": "event_id + 1",
     "chr": "'chr' || CAST(user_id % 5 + 1 AS STRING)",
-    "te_start": "CAST(event_id * 1500 + user_id % 1000 AS INT)",
-    "te_end": "CAST(event_id * 1500 + user_id % 1000 + event_id % 50 AS INT)",
+    "te_start": "event_id * 1500 + user_id % 1000",
+    "te_end": "event_id * 1500 + user_id % 1000 + event_id % 50",
     "strand": "CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END",
     "type": "CASE event_id % 8 WHEN 0 THEN 'LINE' WHEN 1 THEN 'gene' WHEN 2 THEN 'SINE' WHEN 3 THEN 'INTERGENIC' WHEN 4 THEN 'Helitron' WHEN 5 THEN 'MITE' WHEN 6 THEN 'DNAxtransposon' ELSE 'LTR_retrotransposon' END",
     "own_id": "CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '' ELSE 'id' || CAST(event_id AS STRING) END",
@@ -63,23 +66,41 @@ GFF = {
     "early": "event_id % 10 = 1",
     "key": "event_id",
 }
+#: Coordinates, of 32 bits in the SQL and of 64 here.
+COORDINATES = ("te_start", "te_end", "start1", "end1", "start2", "end2")
 # Kinds of noise by key: a comment, a short row, doubled tabs, a carriage return.
 COMMENT, SHORT, DOUBLED, RETURN = 13, 17, 7, 11
 NOT_ROWS = f"(key % {COMMENT} = 0 OR key % {SHORT} = 0)"
 _TABLES = {"syn_raw": ("orders", SYN_RAW), "te1": ("lineitem", TE1), "te2": ("events", TE2), "gff": ("events", GFF)}
 
 
+def _items(columns: dict[str, str], kind: str) -> list[str]:
+    return [f"CAST({e} AS {kind}) AS {c}" if c in COORDINATES else f"{e} AS {c}" for c, e in columns.items()]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the structured relations."""
     if name == "syn":
-        return view(spark, sf_dir, "syn_raw").selectExpr(*[f"{e} AS {c}" for c, e in SYN.items()])
+        return view(spark, sf_dir, "syn_raw").selectExpr(*_items(SYN, "BIGINT"))
     table, columns = _TABLES[name]
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").selectExpr(*_items(columns, "BIGINT"))
+
+
+def narrow(result: DataFrame, whole: DataFrame, added: int = 0) -> DataFrame:
+    """``result`` with the SQL's 32-bit coordinates if all those of ``whole``, a view, fit them with
+    ``added`` put on top: wherever the SQL has a result.  Else they stay as they are."""
+    held = [c for c in whole.columns if c in COORDINATES]
+    least, most = whole.agg(F.min(F.least(*held)), F.max(F.greatest(*held))).first()
+    return result if least is not None and not -(2**31) <= least <= most + added < 2**31 else with_32_bits(result)
+
+
+def with_32_bits(result: DataFrame) -> DataFrame:
+    return result.withColumns({c: F.col(c).cast("int") for c in result.columns if c in COORDINATES})
 
 
 def ctes() -> str:
     """The same relations for a WITH clause."""
-    one = lambda name, table, cols: f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {table})"
+    one = lambda name, table, cols: f"{name} AS (SELECT {', '.join(_items(cols, 'INT'))} FROM {table})"
     return ", ".join([*(one(n, t, c) for n, (t, c) in _TABLES.items()), one("syn", "syn_raw", SYN)])
 
 

@@ -31,18 +31,27 @@ def _blocks(spark: SparkSession, d: str, genome: int) -> DataFrame:
     return side(lens.view(spark, d, "syn"), genome)
 
 
-def _unique(spark: SparkSession, d: str, genome: int, strategy: str = "auto") -> DataFrame:
-    return unique(_te(spark, d, genome), _blocks(spark, d, genome), strategy)
+def _of_te(operator: Callable[[DataFrame, DataFrame], DataFrame], genome: int, blocks: int | None = None) -> Query:
+    """A query for those elements of a genome that an operator keeps, by the blocks on a side."""
+    return lambda s, d: lens.narrow(operator(_te(s, d, genome), _blocks(s, d, blocks or genome)), _te(s, d, genome))
+
+
+def _by(strategy: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda elements, blocks: unique(elements, blocks, strategy)
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    parts = [unique(_te(spark, d, g), _blocks(spark, d, g)).select(F.lit(g).alias("genome"), *_TE) for g in (1, 2)]
+    return parts[0].unionByName(parts[1])
 
 
 def unique_all(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: unique elements of both genomes."""
-    parts = [_unique(spark, d, g).select(F.lit(g).alias("genome"), *_TE) for g in (1, 2)]
-    return parts[0].unionByName(parts[1])
+    return lens.narrow(_both(spark, d), _te(spark, d, 1).unionByName(_te(spark, d, 2)))
 
 
 def _counts(key: str) -> Query:
-    return lambda s, d: unique_all(s, d).groupBy("genome", F.coalesce(key, F.lit("unknown")).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return lambda s, d: _both(s, d).groupBy("genome", F.coalesce(key, F.lit("unknown")).alias(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _first_seen(key: str) -> Query:
@@ -73,6 +82,14 @@ def _syn_parsed(spark: SparkSession, d: str) -> DataFrame:
     return synteny(lens.synteny_lines(spark, d))
 
 
+def _previewed(head: DataFrame) -> DataFrame:
+    """A preview's rows; coordinates have 32 bits where these rows' fit them."""
+    rows = head.collect()
+    fit = all(-(2**31) <= r[c] < 2**31 for r in rows for c in head.columns if c in lens.COORDINATES)
+    shown = head.sparkSession.createDataFrame(rows, head.schema)
+    return lens.with_32_bits(shown) if fit else shown
+
+
 def _tokenise(spark: SparkSession, d: str) -> DataFrame:
     lines = lens.bed_lines(spark, d)
     return lines.select("line_no", F.array_join(tokens(cut_line(F.col("value")), 15), "|").alias("fields"))
@@ -149,16 +166,16 @@ def _console(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "unique_all": unique_all,
-        "unique_genome1": lambda s, d: _unique(s, d, 1),
-        "unique_genome2": lambda s, d: _unique(s, d, 2),
-        "in_synteny_genome1": lambda s, d: in_synteny(_te(s, d, 1), _blocks(s, d, 1)),
-        "in_synteny_genome2": lambda s, d: in_synteny(_te(s, d, 2), _blocks(s, d, 2)),
-        "unique_broadcast_genome2": lambda s, d: _unique(s, d, 2, "broadcast"),
-        "unique_sweep_genome1": lambda s, d: _unique(s, d, 1, "sweep"),
-        "unique_sweep_genome2": lambda s, d: _unique(s, d, 2, "sweep"),
-        "unique_binned_genome1": lambda s, d: _unique(s, d, 1, "binned"),
-        "unique_no_synteny": lambda s, d: unique(_te(s, d, 1), side(s.createDataFrame([], SYNTENY), 1)),
-        "unique_other_side": lambda s, d: unique(_te(s, d, 1), side(lens.view(s, d, "syn"), 3)),
+        "unique_genome1": _of_te(unique, 1),
+        "unique_genome2": _of_te(unique, 2),
+        "in_synteny_genome1": _of_te(in_synteny, 1),
+        "in_synteny_genome2": _of_te(in_synteny, 2),
+        "unique_broadcast_genome2": _of_te(_by("broadcast"), 2),
+        "unique_sweep_genome1": _of_te(_by("sweep"), 1),
+        "unique_sweep_genome2": _of_te(_by("sweep"), 2),
+        "unique_binned_genome1": _of_te(_by("binned"), 1),
+        "unique_no_synteny": lambda s, d: lens.narrow(unique(_te(s, d, 1), side(s.createDataFrame([], SYNTENY), 1)), _te(s, d, 1)),
+        "unique_other_side": _of_te(unique, 1, blocks=3),
         "overlap_edge_cases": _edges,
         "type_counts": _counts("type"),
         "family_counts": _counts("family"),
@@ -166,14 +183,14 @@ def queries() -> dict[str, Query]:
         "family_counts_first_seen": _first_seen("family"),
         "unique_summary": _summary,
         "relation_counts": _relation_counts,
-        "synteny_parse": _syn_parsed,
-        "synteny_normalised": lambda s, d: _syn_parsed(s, d).select("line_no", "start1", "end1", "start2", "end2"),
+        "synteny_parse": lambda s, d: lens.narrow(_syn_parsed(s, d), lens.view(s, d, "syn")),
+        "synteny_normalised": lambda s, d: lens.narrow(_syn_parsed(s, d).select("line_no", "start1", "end1", "start2", "end2"), lens.view(s, d, "syn")),
         "synteny_default_score": lambda s, d: _syn_parsed(s, d).filter("score = 1").select("line_no", "score"),
-        "gff3_parse": lambda s, d: gff3(lens.gff3_lines(s, d)),
+        "gff3_parse": lambda s, d: lens.narrow(gff3(lens.gff3_lines(s, d)), lens.view(s, d, "gff")),
         "gff3_type_filter": lambda s, d: gff3(lens.gff3_lines(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
         "gff3_attributes": _attributes,
         "gff3_generated_ids": lambda s, d: gff3(lens.gff3_lines(s, d)).filter(F.col("id").startswith("TE_")).select("line_no", "id", "name"),
-        "bed_parse": lambda s, d: bed(lens.bed_lines(s, d)),
+        "bed_parse": lambda s, d: lens.narrow(bed(lens.bed_lines(s, d)), lens.view(s, d, "gff"), added=1),
         "bed_arity_defaults": lambda s, d: bed(lens.bed_lines(s, d)).select("line_no", "strand", "type", "name"),
         "bed_generated_ids": lambda s, d: bed(lens.bed_lines(s, d)).select("line_no", "id"),
         "line_filter": lambda s, d: lens.bed_lines(s, d).filter(~is_skipped(F.col("value")) & ~is_track(F.col("value"))).select("line_no"),
@@ -189,8 +206,8 @@ def queries() -> dict[str, Query]:
         "format_by_ending": _endings,
         "argument_cases": _commands,
         "console_summary": _console,
-        "te_preview": lambda s, d: element_preview(gff3(lens.gff3_lines(s, d))),
-        "synteny_preview": lambda s, d: synteny_preview(_syn_parsed(s, d)),
+        "te_preview": lambda s, d: _previewed(element_preview(gff3(lens.gff3_lines(s, d)))),
+        "synteny_preview": lambda s, d: _previewed(synteny_preview(_syn_parsed(s, d))),
     }
 
 

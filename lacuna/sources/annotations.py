@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import c_float, c_int, cut_line, generated_id, gff_attribute, is_element_type, is_skipped, is_track, token, tokens
+from ..functions import c_float, coordinate, cut_line, generated_id, gff_attribute, is_element_type, is_skipped, is_track, token, tokens
 
 #: Fields that are read at most, and that a row must have.
 MOST = {"synteny": 10, "gff3": 10, "bed": 15}
@@ -48,7 +48,7 @@ def _or(k: int, default: Column) -> Column:
 def synteny(lines: DataFrame) -> DataFrame:
     """Blocks; the ends of either side are put in order, a missing score is 1."""
     t = F.col("t")
-    a1, b1, a2, b2 = (c_int(token(t, k)) for k in (1, 2, 4, 5))
+    a1, b1, a2, b2 = (coordinate(token(t, k)) for k in (1, 2, 4, 5))
     score = F.when(F.size(t) > 6, c_float(token(t, 6))).otherwise(F.lit(1.0))
     return _settled(
         _rows(lines, "synteny"),
@@ -70,8 +70,8 @@ def gff3(lines: DataFrame) -> DataFrame:
         _rows(lines, "gff3").filter(is_element_type(token(t, 2))),
         F.col("line_no"),
         token(t, 0).alias("chr"),
-        c_int(token(t, 3)).alias("te_start"),
-        c_int(token(t, 4)).alias("te_end"),
+        coordinate(token(t, 3)).alias("te_start"),
+        coordinate(token(t, 4)).alias("te_end"),
         token(t, 6).alias("strand"),
         token(t, 2).alias("type"),
         gff_attribute(token(t, 8), "family", "TE_family").alias("family"),
@@ -85,7 +85,7 @@ def gff3(lines: DataFrame) -> DataFrame:
 def bed(lines: DataFrame) -> DataFrame:
     """Elements of BED rows, of whatever type; starts become 1-based.  The family is unknown."""
     t = F.col("t")
-    own = _settled(_rows(lines, "bed"), F.col("line_no"), t, (c_int(token(t, 1)) + 1).alias("te_start"), c_int(token(t, 2)).alias("te_end"))
+    own = _settled(_rows(lines, "bed"), F.col("line_no"), t, (coordinate(token(t, 1)) + 1).alias("te_start"), coordinate(token(t, 2)).alias("te_end"))
     made = generated_id(F.col("line_no"), F.col("te_start"), F.col("te_end"))
     return own.select(
         "line_no",

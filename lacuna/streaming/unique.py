@@ -24,6 +24,6 @@ def stream_unique(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     spans, steps = stepped(blocks)
     own = elements.columns
     placed = elements.join(spans, F.col("chr") == F.col("s_chr"), "left")
-    at = F.least(F.floor((F.col("te_end").cast("long") - F.col("lo")) / F.col("width")), F.col("last") + 1)
+    at = F.when(F.col("te_end") < F.col("lo"), F.lit(-1).cast("long")).otherwise(F.least(F.expr("(CAST(te_end AS BIGINT) - lo) div width"), F.col("last") + 1))
     meets = (F.col("chr") == F.col("b_chr")) & (F.col("e_bin") == F.col("b_bin")) & overlaps(F.col("te_start"), F.col("te_end"), F.col("b_start"), F.col("b_end"))
     return placed.withColumn("e_bin", at).join(steps, meets, "left_anti").select(*own)

@@ -1,0 +1,82 @@
+"""Queries on tables with keys so large that coordinates exceed 32 bits, against the SQL with 64."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from lacuna.functions import coordinate
+from lacuna.operators import unique
+from lacuna.plans import lens
+from lacuna.plans.queries import oracle_sql, queries
+from lacuna.sources.annotations import bed
+from lacuna.streaming import stream_unique
+
+from .test_queries import SF, pytestmark, table  # noqa: F401
+
+QUERIES, SQL = queries(), oracle_sql()
+#: Table by table, the keys and by how much they are raised in a second copy of the rows.
+RAISED = {"orders": {"o_orderkey": 7_999_992}, "lineitem": {"l_orderkey": 7_999_992}, "events": {"event_id": 5_999_985}}
+#: The queries, and whether the SQL has a result there as it stands.
+FOUND = {
+    "arity_rejects": True,
+}
+
+
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    folder, con = tmp_path_factory.mktemp("large"), duckdb.connect()
+    for name, keys in RAISED.items():
+        rows = f"SELECT * FROM '{SF}/{name}.parquet'"
+        raised = ", ".join(f"{k} + {by} AS {k}" for k, by in keys.items())
+        con.execute(f"COPY ({rows} UNION ALL SELECT * REPLACE ({raised}) FROM ({rows})) TO '{folder}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", FOUND)
+def test_large_keys(spark, large, name):
+    folder, con = large
+    got = QUERIES[name](spark, folder)
+    assert table(got.toPandas()) == table(con.execute(SQL[name].replace("AS INT)", "AS BIGINT)")).df())
+    if FOUND[name]:
+        assert table(got.toPandas()) == table(con.execute(SQL[name]).df())
+    else:
+        with pytest.raises(duckdb.ConversionException):
+            con.execute(SQL[name]).df()
+
+
+def test_coordinates(spark):
+    """Whole-number prefixes of up to 18 digits; leading zeros do not count."""
+    texts = {"99999999999x": 99999999999, " +7": 7, "-5000000000.5": -5000000000, "000000000000000000000012": 12, "999999999999999999": 10**18 - 1, "1000000000000000000": 0, "x": 0, "": 0}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(coordinate(F.col("t"))).collect()] == list(texts.values())
+
+
+def test_bed_start_at_32_bits(spark):
+    df = spark.createDataFrame([(1, "c\t2147483647\t2147483650")], "line_no long, value string")
+    assert [(r.te_start, r.te_end) for r in bed(df).collect()] == [(2147483648, 2147483650)]
+
+
+def test_types(spark, large):
+    """Coordinates have the SQL's 32 bits where they fit, 64 where they do not."""
+    for name in ("unique_genome1", "bed_parse", "synteny_normalised"):
+        for folder, kind in ((SF, "int"), (large[0], "bigint")):
+            kinds = {t for c, t in QUERIES[name](spark, folder).dtypes if c in lens.COORDINATES}
+            assert kinds == {kind}
+
+
+def test_intervals_far_out(spark, tmp_path):
+    """All plans and the stream where starts and ends exceed 32 bits on both sides of zero."""
+    te, block = "k int, chr string, te_start long, te_end long", "chr string, b_start long, b_end long"
+    far = 5 * 10**9
+    elements = [(k, "a", at, at + 4) for k, at in enumerate(x for o in (-far, 0, far) for x in range(o, o + 300, 7))]
+    blocks = [("a", o + x, o + x + 3) for o in (-far, far) for x in range(0, 300, 40)] + [("a", -far + 10, -far + 90)]
+    want = sorted(k for k, c, s, e in elements if not any(bs <= e and be >= s for _, bs, be in blocks))
+    e, b = spark.createDataFrame(elements, te), spark.createDataFrame(blocks, block)
+    for plan in ("broadcast", "sweep"):
+        assert sorted(r.k for r in unique(e, b, plan).collect()) == want
+    e.write.parquet(str(tmp_path / "in"))
+    q = stream_unique(spark.readStream.schema(te).parquet(str(tmp_path / "in")), b).writeStream.format("memory").queryName("far").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.k for r in spark.table("far").collect()) == want
