@@ -20,6 +20,7 @@ RAISED = {"orders": {"o_orderkey": 7_999_992}, "lineitem": {"l_orderkey": 7_999_
 FOUND = {
     "arity_rejects": True,
     "bed_parse": False,
+    "family_counts_first_seen": False,
 }
 
 
