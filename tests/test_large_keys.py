@@ -21,6 +21,7 @@ FOUND = {
     "arity_rejects": True,
     "bed_parse": False,
     "family_counts_first_seen": False,
+    "gff3_attributes": True,
 }
 
 
