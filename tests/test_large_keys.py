@@ -22,6 +22,7 @@ FOUND = {
     "bed_parse": False,
     "family_counts_first_seen": False,
     "gff3_attributes": True,
+    "gff3_type_filter": True,
 }
 
 
