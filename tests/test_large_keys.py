@@ -23,6 +23,7 @@ FOUND = {
     "family_counts_first_seen": False,
     "gff3_attributes": True,
     "gff3_type_filter": True,
+    "line_filter": True,
 }
 
 
