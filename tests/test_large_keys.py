@@ -24,6 +24,7 @@ FOUND = {
     "gff3_attributes": True,
     "gff3_type_filter": True,
     "line_filter": True,
+    "te_preview": True,
 }
 
 
