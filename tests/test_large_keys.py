@@ -25,6 +25,7 @@ FOUND = {
     "gff3_type_filter": True,
     "line_filter": True,
     "te_preview": True,
+    "type_counts_first_seen": False,
 }
 
 
