@@ -26,6 +26,7 @@ FOUND = {
     "line_filter": True,
     "te_preview": True,
     "type_counts_first_seen": False,
+    "unique_broadcast_genome2": False,
 }
 
 
