@@ -27,6 +27,7 @@ FOUND = {
     "te_preview": True,
     "type_counts_first_seen": False,
     "unique_broadcast_genome2": False,
+    "unique_no_synteny": False,
 }
 
 
