@@ -28,6 +28,7 @@ FOUND = {
     "type_counts_first_seen": False,
     "unique_broadcast_genome2": False,
     "unique_no_synteny": False,
+    "unique_sweep_genome1": False,
 }
 
 
