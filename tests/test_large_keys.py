@@ -29,6 +29,7 @@ FOUND = {
     "unique_broadcast_genome2": False,
     "unique_no_synteny": False,
     "unique_sweep_genome1": False,
+    "bed_arity_defaults": False,
 }
 
 
