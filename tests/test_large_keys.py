@@ -30,6 +30,7 @@ FOUND = {
     "unique_no_synteny": False,
     "unique_sweep_genome1": False,
     "bed_arity_defaults": False,
+    "console_summary": False,
 }
 
 
