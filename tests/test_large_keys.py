@@ -31,6 +31,7 @@ FOUND = {
     "unique_sweep_genome1": False,
     "bed_arity_defaults": False,
     "console_summary": False,
+    "format_sniff": True,
 }
 
 
