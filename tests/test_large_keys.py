@@ -32,6 +32,7 @@ FOUND = {
     "bed_arity_defaults": False,
     "console_summary": False,
     "format_sniff": True,
+    "gff3_generated_ids": False,
 }
 
 
