@@ -33,6 +33,7 @@ FOUND = {
     "console_summary": False,
     "format_sniff": True,
     "gff3_generated_ids": False,
+    "in_synteny_genome1": False,
 }
 
 
