@@ -34,6 +34,7 @@ FOUND = {
     "format_sniff": True,
     "gff3_generated_ids": False,
     "in_synteny_genome1": False,
+    "report_order": False,
 }
 
 
