@@ -35,6 +35,7 @@ FOUND = {
     "gff3_generated_ids": False,
     "in_synteny_genome1": False,
     "report_order": False,
+    "tokenise_collapse": False,
 }
 
 
