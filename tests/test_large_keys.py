@@ -36,6 +36,7 @@ FOUND = {
     "in_synteny_genome1": False,
     "report_order": False,
     "tokenise_collapse": False,
+    "unique_all": False,
 }
 
 
