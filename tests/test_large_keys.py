@@ -37,6 +37,7 @@ FOUND = {
     "report_order": False,
     "tokenise_collapse": False,
     "unique_all": False,
+    "unique_genome1": False,
 }
 
 
