@@ -38,6 +38,7 @@ FOUND = {
     "tokenise_collapse": False,
     "unique_all": False,
     "unique_genome1": False,
+    "unique_other_side": False,
 }
 
 
