@@ -39,6 +39,7 @@ FOUND = {
     "unique_all": False,
     "unique_genome1": False,
     "unique_other_side": False,
+    "unique_sweep_genome2": False,
 }
 
 
