@@ -40,6 +40,7 @@ FOUND = {
     "unique_genome1": False,
     "unique_other_side": False,
     "unique_sweep_genome2": False,
+    "bed_generated_ids": False,
 }
 
 
