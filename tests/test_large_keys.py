@@ -41,6 +41,7 @@ FOUND = {
     "unique_other_side": False,
     "unique_sweep_genome2": False,
     "bed_generated_ids": False,
+    "family_counts": False,
 }
 
 
