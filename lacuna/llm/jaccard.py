@@ -179,7 +179,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lo in range(0, len(pdf), 1000):
             part = pdf.iloc[lo : lo + 1000]
-            yield pd.DataFrame({"cls": part["cls"], "m": part["m"], "n": part["n"], "tokens": [shingle(t).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"cls": part["cls"], "deep": part["deep"], "m": part["m"], "n": part["n"], "tokens": [shingle(t).tobytes() for t in part["text"]]})
     shingle.known.clear()
     give_back()
 
@@ -332,18 +332,20 @@ def _search(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     classes = settle(alike.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     rows = settle(_nodes(classes.select("cls", F.explode("nodes").alias("node")), F.col("size") <= LIMIT), "nodes")
-    live = rows.select("cls").distinct()
-    known = classes.join(live, "cls", "left_semi").select("cls", "m", "n", *[F.col("first")[c].alias(c) for c in KEY])
+    # The classes of nodes that will be split (deep) are told apart before their tokens are written, so
+    # that splitting shuffles the tokens of those alone.
+    live = rows.groupBy("cls").agg(F.max(~F.col("done")).alias("deep"))
+    known = classes.join(live, "cls").select("cls", "deep", "m", "n", *[F.col("first")[c].alias(c) for c in KEY])
     # Whole repeated rows are merged before they are shuffled.
     texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text")).join(known, KEY)
-    sets = settle(texts.select("cls", "m", "n", "text").mapInPandas(_sets, "cls long, m long, n long, tokens binary"), "sets")
+    sets = settle(texts.select("cls", "deep", "m", "n", "text").mapInPandas(_sets, "cls long, deep boolean, m long, n long, tokens binary"), "sets")
+    deep = sets.filter("deep").select("cls", "tokens")
 
     leaves, used = [rows.filter("done")], [rows, sets]
     large = rows.filter("not done")
     if not large.isEmpty():
         # Split nodes part more pairs: their classes take part in further runs.
-        begun = sets.join(large.select("cls").distinct(), "cls", "left_semi").select("cls", "tokens")
-        more = settle(begun.mapInPandas(partial(_more, runs, runs_for_split(recall)), "node long, cls long"), "nodes")
+        more = settle(deep.mapInPandas(partial(_more, runs, runs_for_split(recall)), "node long, cls long"), "nodes")
         further = settle(_nodes(more, F.col("size") <= LIMIT), "nodes")
         release(more)
         used.append(further)
@@ -353,7 +355,7 @@ def _search(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
         if large.isEmpty():
             break
         held = large.groupBy("cls").agg(F.collect_list("node").alias("nodes"), F.collect_list("size").alias("sizes"))
-        split = settle(held.join(sets.select("cls", "tokens"), "cls").mapInPandas(_split, "node long, parent long, cls long").distinct(), "nodes")
+        split = settle(held.join(deep, "cls").mapInPandas(_split, "node long, parent long, cls long").distinct(), "nodes")
         below = settle(_nodes(split, (F.col("size") <= LIMIT) | (F.col("size") > SHRINK * F.col("parent")) | F.lit(depth == MAX_DEPTH)), "nodes")
         release(split)
         used.append(below)

@@ -147,6 +147,20 @@ def test_split_nodes_keep_the_recall(spark, monkeypatch):
         assert first + jaccard.miss(jaccard.MAX_DEPTH) ** jaccard.runs_for_split(recall) <= 1 - recall
 
 
+def test_splitting_takes_the_tokens_of_split_nodes_alone(spark, monkeypatch):
+    """Further runs read their classes as written, without a join; a level joins those and no others."""
+    monkeypatch.setattr(jaccard, "LIMIT", 64)
+    plans, wrote = [], jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df, what: (what == "nodes" and plans.append(df._jdf.queryExecution().optimizedPlan().toString()), wrote(df, what))[1])
+    r = random.Random(5)
+    body, near = text(r, 60), [text(r, 60) for _ in range(40)]
+    rows = list(enumerate([f"{body} {text(r, 6, 10**6)}" for _ in range(70)] + [f"{t} {text(r, 2, 10**6)}" for t in near for _ in range(2)], 1))
+    out = op8(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert ordered((x.doc_id, x.class_id, x.n_links) for x in out) == brute(rows)
+    more, split = [p for p in plans if "MapInPandas" in p][:2]
+    assert "Join" not in more and split.count("Join") == 1 and "deep" in more and "deep" in split
+
+
 def test_odd_rows(spark):
     t = " ".join(f"x{i}" for i in range(50))
     docs = spark.createDataFrame([(7, t), (7, t), (None, t), (3, t), (None, "only here and nowhere else now"), (9, None), (10, "")], "doc_id long, text string")
