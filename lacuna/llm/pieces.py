@@ -43,11 +43,13 @@ from .common import give_back, unused
 SPACE = "▁"
 POWER = 1.0
 SEED = 17
-#: Characters sampled together, and distinct chunks that a worker remembers.
-CHARS_AT_ONCE = 1_000_000
-CHUNKS_KEPT = 200_000
+#: Characters sampled together, and distinct chunks that a worker remembers within a task.
+CHARS_AT_ONCE = 250_000
+CHUNKS_KEPT = 100_000
 #: Longest chunk whose lattice is built together with others.
 VECTOR_CHARS = 40
+#: Nodes of such chunks whose edges are laid out at once, a matrix row each.
+NODES_AT_ONCE = 20_000
 #: Nodes of a longer chunk that are filtered before their edges are put away.
 STRIPE = 20_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
@@ -120,7 +122,7 @@ class Pieces:
             if len(chunk) <= VECTOR_CHARS and chunk != SPACE:
                 held.append(chunk)
                 n += len(chunk) + 1
-                if n > 100_000:
+                if n > NODES_AT_ONCE:
                     parts.append((held, self._many(held)))
                     held, n = [], 0
         if held:
@@ -350,7 +352,7 @@ _PIECES: dict[tuple[str, float], Pieces] = {}
 
 
 def pieces_of(path: str, power: float = POWER) -> Pieces:
-    """The process's pieces of a model: a worker keeps its lattices from task to task."""
+    """The process's pieces of a model: a worker reads the vocabulary once."""
     if (path, power) not in _PIECES:
         _PIECES[path, power] = Pieces(path, power)
     return _PIECES[path, power]
@@ -387,6 +389,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 if decoded:
                     columns.append(pa.array(map(pieces.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        pieces.forget()  # the worker lives on and others need the room
         give_back()
 
     return source.mapInArrow(run, T.StructType(fields))
@@ -405,11 +408,11 @@ def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", into: str = "
 
 def op6(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_hash, n_chars and text_crc32, the last two of the decoded text."""
-    back = encode(docs.select("doc_id", "text"), model, decoded="back").select("doc_id", "piece_ids", "back")
+    back = encode(docs.select("doc_id", "text"), model, decoded="text")  # in the text's place, so that it passes once
     return back.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.xxhash64("piece_ids").alias("ids_hash"),
-        F.length("back").cast("long").alias("n_chars"),
-        F.crc32(F.col("back").cast("binary")).alias("text_crc32"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )

@@ -117,3 +117,25 @@ def test_query(spark):
     assert op6(docs.limit(0), PATH).count() == 0
     back = decode(encode(docs.select("doc_id", "text"), PATH), PATH, into="again")
     assert back.filter("coalesce(text, '') <> again").count() == 0
+
+
+def test_workers_keep_no_lattices(spark):
+    """What a task learned is forgotten at its end; only the vocabulary stays in the worker."""
+
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(id=sum(len(p.ends) + len(p.upto) for p in pieces._PIECES.values()))
+
+    docs = spark.createDataFrame([(i, f"word{i} and some more of them") for i in range(400)], "doc_id long, text string").repartition(8)
+    op6(docs, PATH).collect()
+    assert {r.id for r in spark.range(0, 64, 1, 8).mapInPandas(held, "id long").collect()} == {0}
+
+
+def test_the_text_passes_once(spark, monkeypatch):
+    """A worker gets the text in one column, not in two."""
+    docs = spark.createDataFrame([(1, "s", "x y")], "doc_id long, source string, text string")
+    seen, frame = [], type(docs)
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: seen.append([t for _, t in self.dtypes]) or whole(self, *a, **k))
+    assert op6(docs, PATH).first().n_chars == 3
+    assert seen == [["bigint", "bigint", "string"]]
