@@ -83,10 +83,13 @@ class Pieces:
         self.wide_bytes = {i: b for b, i in self.byte_ids.items() if b >= 0x80}
         for b, i in self.byte_ids.items():
             self.plain[i] = chr(b) if b < 0x80 else ""
-        # Commas and the like that no piece holds behind a letter part chunks too.
-        marks = "".join(c for c in ",.;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", n) for n in self.table))
-        ahead = rf"| *[^\W\d_]++(?=[{re.escape(marks)}])" if marks else ""
-        self.chunks = re.compile(rf"\n{ahead}| *[^ \n{SPACE}]+| +|{SPACE}").findall
+        # A word ends a chunk unless some piece goes on from its last letter to what follows it.
+        onward: dict[str, set[str]] = {}
+        for a, b in {ab for n in self.table for ab in re.findall(r"(?=([^\W\d_])([\W\d_]))", n)}:
+            onward.setdefault(b, set()).add(a)
+        barred = "".join(f"|(?<=[{re.escape(''.join(sorted(a)))}]){re.escape(b)}" for b, a in sorted(onward.items()))
+        word = rf" ?[A-Za-z]++(?![^\W\d_]{barred})| *[^\W\d_]++(?![^\W\d_]{barred})"  # the first is the quicker
+        self.chunks = re.compile(rf"{word}| *[^ \n{SPACE}]+|\n| +|{SPACE}").findall
         self._build_trie()
         self.forget()
 
@@ -96,79 +99,88 @@ class Pieces:
         steps = sorted((number[name[:-1]] << 21 | ord(name[-1]), k) for name, k in number.items() if name)
         self.steps, self.targets = np.array([x for x, _ in steps], np.int64), np.array([k for _, k in steps], np.int32)
         self.piece_at = np.array([-1, *self.table.values()], np.int32)
-        self.weights = np.array(self.weight)
+        self.weights = np.array([*self.weight, self.rare])  # -1, the bytes of a character, is the last
 
     def forget(self) -> None:
         """Drop all lattices.  Edges are in order of the node where they end, the longest first:
-        the probability of a node's edges up to and with each, length, ids (the first of them)."""
+        the probability of a node's edges up to and with each, length, ids (the first of them).  The
+        arrays have room behind the last of ``n_nodes`` and ``n_edges``."""
         self.ends: dict[str, int] = {}
+        self.n_nodes = self.n_edges = 0
         self.edges_from = np.zeros(1, np.int32)
         self.upto, self.length, self.first_id, self.n_ids = np.zeros(0, np.float32), np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.int8)
         self.extra: dict[int, list[int]] = {}
 
-    def _drop(self, chunks: list[str], n_edges: int, n_nodes: int) -> None:
+    def _drop(self, chunks: list[str], n_nodes: int, n_edges: int, n_extra: int) -> None:
         """Take back the chunks learned last."""
         for c in chunks:
             del self.ends[c]
-        for e in [e for e in self.extra if e >= n_edges]:
-            del self.extra[e]
-        self.edges_from = self.edges_from[: n_nodes + 1]
-        self.upto, self.length, self.first_id, self.n_ids = self.upto[:n_edges], self.length[:n_edges], self.first_id[:n_edges], self.n_ids[:n_edges]
+        for _ in range(len(self.extra) - n_extra):
+            self.extra.popitem()
+        self.n_nodes, self.n_edges = n_nodes, n_edges
+
+    def _put(self, name: str, at: int, parts: list[np.ndarray]) -> None:
+        """Write into an array from a place on, and make room where it is short."""
+        own, n = getattr(self, name), at + sum(map(len, parts))
+        if n > len(own):
+            own = np.concatenate([own[:at], np.empty(n + n // 8 - at, own.dtype)])
+            setattr(self, name, own)
+        for part in parts:
+            own[at : at + len(part)] = part
+            at += len(part)
 
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices of new chunks.  A chunk of n characters has n + 1 nodes in a row."""
-        parts, held, n = [], [], 0
-        for chunk in chunks:
-            if len(chunk) <= VECTOR_CHARS and chunk != SPACE:
-                held.append(chunk)
-                n += len(chunk) + 1
-                if n > NODES_AT_ONCE:
-                    parts.append((held, self._many(held)))
-                    held, n = [], 0
-        if held:
-            parts.append((held, self._many(held)))
+        short = [c for c in chunks if len(c) <= VECTOR_CHARS and c != SPACE]
+        upto = np.cumsum(_lengths(short) + 1)
+        cuts = [0, *np.searchsorted(upto, np.arange(NODES_AT_ONCE, upto[-1] if short else 0, NODES_AT_ONCE)).tolist(), len(short)]
+        parts = [(short[a:b], self._many(short[a:b])) for a, b in zip(cuts, cuts[1:]) if a < b]
         parts += [([c], self._long(c)) for c in chunks if len(c) > VECTOR_CHARS or c == SPACE]
-        n_nodes, n_edges = len(self.edges_from) - 1, len(self.upto)
+        n_nodes, n_edges = self.n_nodes, self.n_edges
         for held, (counts, _, _, _, _, extra) in parts:
-            for chunk in held:
-                n_nodes += len(chunk) + 1
-                self.ends[chunk] = n_nodes - 1
+            last = n_nodes - 1 + np.cumsum(_lengths(held) + 1)
+            self.ends.update(zip(held, last.tolist()))
             self.extra |= {n_edges + e: own for e, own in extra.items()}
-            n_edges += int(counts.sum())
+            n_nodes, n_edges = n_nodes + len(counts), n_edges + int(counts.sum())
         counts = np.concatenate([p[1][0] for p in parts])
-        self.edges_from = np.concatenate([self.edges_from, self.edges_from[-1] + np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+        self._put("edges_from", self.n_nodes + 1, [self.n_edges + np.cumsum(counts, dtype=np.int64)])
         for k, name in enumerate(("upto", "length", "first_id", "n_ids"), 1):
-            own = getattr(self, name)
-            setattr(self, name, np.concatenate([own, *[p[1][k].astype(own.dtype) for p in parts]]))
+            self._put(name, self.n_edges, [p[1][k] for p in parts])
+        self.n_nodes, self.n_edges = n_nodes, n_edges
 
-    def _edges(self, total: np.ndarray, weight: np.ndarray, ids: np.ndarray, codes: np.ndarray, back: int = 1) -> tuple:
+    def _edges(self, total: np.ndarray, weight: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> tuple:
         """Edges of nodes x lengths matrices; ids of -1 stand for the bytes of the character that ends
-        at a node, which is ``back`` places before the node's own."""
+        at a node."""
         flow = weight[:, ::-1]
         there = flow > 0
         counts = there.sum(axis=1)
         upto = (np.cumsum(flow, axis=1) / np.where(total > 0, total, 1)[:, None])[there]
         upto[np.cumsum(counts)[counts > 0] - 1] = 2.0  # the last edge takes whatever is left
-        length = (weight.shape[1] - np.arange(weight.shape[1]))[np.nonzero(there)[1]]
+        node, column = np.nonzero(there)
         first = ids[:, ::-1][there]
+        return counts, upto, weight.shape[1] - column, first, *self._spelled(first, node, codes)
+
+    def _spelled(self, first: np.ndarray, node: np.ndarray, codes: np.ndarray, back: int = 0) -> tuple:
+        """Put ids in the place of -1, the bytes of the character ``back`` places before an edge's node:
+        the number of ids of each edge, and those of edges with several."""
         sizes, extra = np.ones(len(first), np.int8), {}
-        node_of = np.nonzero(there)[0]
         for e in np.flatnonzero(first < 0).tolist():
-            own = [self.byte_ids[b] for b in chr(codes[node_of[e] - back]).encode("utf-8", "surrogatepass")]
+            own = [self.byte_ids[b] for b in chr(codes[node[e] - back]).encode("utf-8", "surrogatepass")]
             first[e], sizes[e] = own[0], len(own)
             if len(own) > 1:
                 extra[e] = own
-        return counts, upto, length, first, sizes, extra
+        return sizes, extra
 
     def _many(self, chunks: list[str]) -> tuple:
         """Lattices of short chunks, all at once: walk the trie from every place, then filter forward
-        one place of every chunk at a time."""
-        sizes = np.array([len(c) for c in chunks]) + 1
+        one place of every chunk at a time, edge by edge."""
+        sizes = _lengths(chunks) + 1
         starts = np.cumsum(sizes) - sizes
-        codes = np.frombuffer("\n".join([*(c.replace(" ", SPACE) for c in chunks), ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = _codes("\n".join([*chunks, ""]))
         codes[starts + sizes - 1] = 0x110000  # no character: nothing crosses the end of a chunk
         width = self.longest
-        weight, ids = np.zeros((len(codes), width)), np.zeros((len(codes), width), np.int32)
+        # Whether there is an edge, and its id, by node and length, the longest first.
+        there, ids = np.zeros(len(codes) * width, bool), np.empty(len(codes) * width, np.int32)
         at, state = np.flatnonzero(codes < 0x110000), None
         single = np.zeros(len(codes), bool)
         places = at
@@ -179,25 +191,42 @@ class Pieces:
             at, state = at[ok], self.targets[k[ok]]
             v = self.piece_at[state]
             has = v >= 0
-            weight[at[has] + n, n - 1], ids[at[has] + n, n - 1] = self.weights[v[has]], v[has]
+            slot = (at[has] + n) * width + width - n
+            there[slot], ids[slot] = True, v[has]
             if n == 1:
                 single[at[has]] = True
             if not len(at):
                 break
-        odd = places[~single[places]]
-        weight[odd + 1, 0], ids[odd + 1, 0] = self.rare, -1
+        slot = (places[~single[places]] + 1) * width + width - 1
+        there[slot], ids[slot] = True, -1
+        slot = np.flatnonzero(there)
+        node, first = slot // width, ids[slot]
+        length = (node + 1) * width - slot
+        counts = np.bincount(node, minlength=len(codes))
+        # Every node but a chunk's first has an edge.  Those at one place of their chunks come together.
+        place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint16)
+        order = np.argsort(place[node], kind="stable")
+        weight, source, target = self.weights[first][order], (node - length)[order], node[order]
+        heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        target = target[heads]
+        edges_to, nodes_to = np.cumsum(np.bincount(place[node])).tolist(), (np.cumsum(np.bincount(place)) - len(chunks)).tolist()
         total = np.zeros(len(codes))
         total[starts] = 1.0
-        order = np.argsort(-sizes, kind="stable")
-        by_size, back = starts[order], np.arange(1, width + 1)
-        active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max()) + 1), "left")
-        for j in range(1, int(sizes.max())):
-            node = by_size[: active[j]] + j
-            w = min(j, width)
-            flow = weight[node, :w] * total[node[:, None] - back[:w]]
-            weight[node, :w] = flow
-            total[node] = flow.sum(axis=1)
-        return self._edges(total, weight, ids, codes)
+        for j in range(1, len(nodes_to)):
+            lo, hi, own = edges_to[j - 1], edges_to[j], slice(nodes_to[j - 1], nodes_to[j])
+            weight[lo:hi] *= total[source[lo:hi]]
+            total[target[own]] = np.add.reduceat(weight[lo:hi], heads[own] - lo)
+        upto = np.empty(len(order))
+        upto[order] = weight
+        lead, more, k = np.cumsum(counts) - counts, np.flatnonzero(counts > 1), 1
+        while len(more):
+            edge = lead[more] + k
+            upto[edge] += upto[edge - 1]
+            k += 1
+            more = more[counts[more] > k]
+        upto /= total[node]
+        upto[(lead + counts - 1)[counts > 0]] = 2.0  # the last edge takes whatever is left
+        return counts, upto, length, first, *self._spelled(first, node, codes, 1)
 
     def _matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights and ids of the pieces that end at each node of one chunk, by length; -1 for bytes."""
@@ -267,7 +296,7 @@ class Pieces:
                 if total < 1e-100:  # only the nodes in reach matter, and only their proportions
                     recent *= 1e100
             seen = np.array([ord(SPACE)], np.int64) if chunk == SPACE else codes[lo:hi]
-            counts, upto, length, first, sizes, extra = self._edges(np.ones(len(weight)), weight, ids, np.r_[seen, 0], 0)
+            counts, upto, length, first, sizes, extra = self._edges(np.ones(len(weight)), weight, ids, seen)
             done.append((counts, upto, length, first, sizes, {n_edges + e: own for e, own in extra.items()}))
             n_edges += len(upto)
         return (*(np.concatenate([d[k] for d in done]) for k in range(5)), {e: own for d in done for e, own in d[5].items()})
@@ -289,7 +318,7 @@ class Pieces:
             if cs and len(max(cs, key=len)) > VECTOR_CHARS:
                 cs[:] = chain.from_iterable(map(self.parts, cs))
         ends = self.ends
-        full, n_edges, n_nodes = len(ends) >= CHUNKS_KEPT, len(self.upto), len(self.edges_from) - 1
+        full, known = len(ends) >= CHUNKS_KEPT, (self.n_nodes, self.n_edges, len(self.extra))
         new = list(set().union(*split).difference(ends))
         if new:
             self.learn(new)
@@ -297,8 +326,8 @@ class Pieces:
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         starts = np.r_[0, np.cumsum(sizes)]
         flat = list(chain.from_iterable(split))
-        node = np.array(list(map(ends.__getitem__, flat)), np.int64)
-        length = np.array(list(map(len, flat)), np.int64)
+        node = np.fromiter(map(ends.__getitem__, flat), np.int64, len(flat))
+        length = _lengths(flat)
         place = np.cumsum(length)  # places in the batch; every text starts at its own
         with np.errstate(over="ignore"):
             salt = np.repeat(_mix(np.array([k % 2**64 for k in keys], np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) - starts[:-1].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), counts)
@@ -331,7 +360,7 @@ class Pieces:
                 ids[run[k] - len(own) : run[k]] = own
             per_text = np.r_[0, run][per_text]
         if full and new:  # the chunks known by then, frequent ones among them, stay
-            self._drop(new, n_edges, n_nodes)
+            self._drop(new, *known)
         return np.split(ids, per_text[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -343,6 +372,10 @@ class Pieces:
         return data[1:].decode("utf-8", "surrogatepass")
 
 
+def _lengths(chunks: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, chunks), np.int64, len(chunks))
+
+
 def _codes(chunk: str) -> np.ndarray:
     """Code points of a chunk, with space marks for spaces."""
     return np.frombuffer(chunk.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

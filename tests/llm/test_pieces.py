@@ -139,3 +139,46 @@ def test_the_text_passes_once(spark, monkeypatch):
     monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: seen.append([t for _, t in self.dtypes]) or whole(self, *a, **k))
     assert op6(docs, PATH).first().n_chars == 3
     assert seen == [["bigint", "bigint", "string"]]
+
+
+def test_a_word_ends_a_chunk():
+    """Whatever no piece joins to a word's last letter parts chunks, so that few are distinct."""
+    assert P.chunks(" word. word, word$x word% (word) d'or²a word\nword") == [" word", ".", " word", ",", " word", "$x", " word", "%", " (word)", " d", "'or²a", " word", "\n", "word"]
+
+
+@given(st.lists(st.sampled_from(["w", "é", "²", ".", "$", "9", " ", "\n", "_", "ing", "日", "▁", "'", ","]), max_size=30).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_no_piece_crosses_a_cut(text):
+    parts = P.chunks(f" {text}")
+    assert "".join(parts) == f" {text}"
+    whole, cuts = f" {text}".replace(SPACE, "\0").replace(" ", SPACE), np.cumsum([len(c) for c in parts])[:-1].tolist()
+    for cut in cuts:
+        for lo in range(max(0, cut - P.longest), cut):
+            for hi in range(cut + 1, min(len(whole), lo + P.longest) + 1):
+                assert P.table.get(whole[lo:hi], -1) < 0
+
+
+def test_lattices_stay_in_place(monkeypatch):
+    """A full memory is not copied for a batch's own chunks, which leave no trace in it."""
+    monkeypatch.setattr(pieces, "CHUNKS_KEPT", 1000)
+    p = Pieces(PATH)
+    p.sample([0], [" ".join(f"kept{k}\x01" for k in range(2000))])
+    p.sample([1], [" ".join(f"make{k}room{k}é\x02" for k in range(2000))])
+    held, kept, ends = p.upto, p.upto[: p.n_edges].copy(), dict(p.ends)
+    for k in range(3):
+        text = " ".join(f"more{k}{j}é\x02" for j in range(500))
+        (ids,) = p.sample([2], [text])
+        assert p.decode(ids) == text
+    assert p.upto is held and (p.upto[: p.n_edges] == kept).all() and p.ends == ends and max(p.extra, default=-1) < p.n_edges
+
+
+def test_lattices_do_not_depend_on_the_batch():
+    """Bit for bit the same, built alone or together with others."""
+    chunks = [" nothing", "é日x", "  two", "\n", " a" + "b" * 30, "."]
+    together = P._many(chunks)
+    at = 0
+    for c in chunks:
+        alone = P._many([c])
+        n = len(alone[1])
+        assert all((a == b[at : at + n]).all() for a, b in zip(alone[1:5], together[1:5]))
+        at += n
